@@ -1,0 +1 @@
+"""A SQL engine with a compact MySQL-flavoured dialect, on Spark."""
