@@ -11,7 +11,7 @@ BROADCAST_BYTES = 64 << 20
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's upper estimate of a plan's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -1,0 +1,129 @@
+from __future__ import annotations
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessel.operators import joins, lww
+from tessel.session import EngineSession
+from tessel.sources import formats
+from tessel.streaming import lww as stream
+from tessel.streaming import windows
+
+CHANGES = "row_id bigint, op string, ts bigint, arrival bigint, v string"
+STATE = "row_id bigint, op string, ts bigint, v string"
+
+
+def state(df):
+    return sorted(tuple(r) for r in df.select("row_id", "op", "ts", "v").collect())
+
+
+def test_merge_in_any_order_gives_the_same(spark):
+    deltas = [(1, "upsert", 1, 0, "a"), (1, "upsert", 3, 0, "b"), (1, "delete", 2, 0, None), (2, "delete", 5, 0, None), (2, "upsert", 4, 0, "c")]
+    empty, results = spark.createDataFrame([], STATE), set()
+    for order in itertools.islice(itertools.permutations(deltas), 0, 120, 17):
+        now = empty
+        for d in order:
+            now = lww.merge(now, spark.createDataFrame([d], CHANGES))
+        results.add(tuple(state(now)))
+    assert results == {((1, "upsert", 3, "b"), (2, "delete", 5, None))}
+
+
+def test_merge_again_changes_nothing(spark):
+    rng = random.Random(3)
+    changes = spark.createDataFrame([(rng.randrange(9), rng.choice(["upsert", "delete"]), rng.randrange(20), k, str(k)) for k in range(200)], CHANGES)
+    once = lww.merge(spark.createDataFrame([], STATE), changes)
+    assert state(lww.merge(once, changes)) == state(once)
+
+
+def test_equal_times_first_arrival_wins(spark):
+    first = lww.merge(spark.createDataFrame([], STATE), spark.createDataFrame([(1, "upsert", 5, 1, "late"), (1, "upsert", 5, 0, "early")], CHANGES))
+    assert state(first) == [(1, "upsert", 5, "early")]
+    assert state(lww.merge(first, spark.createDataFrame([(1, "upsert", 5, 0, "other")], CHANGES))) == [(1, "upsert", 5, "early")]
+
+
+def test_tombstone_and_return(spark):
+    now = lww.merge(spark.createDataFrame([], STATE), spark.createDataFrame([(1, "upsert", 1, 0, "a"), (1, "delete", 2, 0, None)], CHANGES))
+    assert lww.live(now).count() == 0
+    assert state(lww.live(lww.merge(now, spark.createDataFrame([(1, "upsert", 3, 0, "b")], CHANGES)))) == [(1, "upsert", 3, "b")]
+
+
+def test_deltas_of_several_operations(spark):
+    deltas = spark.createDataFrame([(7, [("upsert", 1, "a"), ("upsert", 1, "b"), ("delete", 2, None)])], "ts bigint, operations array<struct<op string, row_id bigint, v string>>")
+    assert state(lww.winners(lww.exploded(deltas))) == [(1, "upsert", 7, "a"), (2, "delete", 7, None)]
+
+
+@pytest.fixture
+def replicas(spark, tmp_path):
+    out = []
+    for k in "ab":
+        s = EngineSession(spark, str(tmp_path / k))
+        s.sql("CREATE TABLE t (v TEXT) ENGINE=memory")
+        out.append(s)
+    return out
+
+
+def content(s):
+    table = s.catalog.table("t")
+    return sorted(tuple(r) for r in s.store(table).rows(table).select("_row_id", "v").collect())
+
+
+def test_replicas_converge(spark, replicas):
+    a, b = replicas
+    a.sql("INSERT INTO t VALUES ('x'), ('y')")
+    b.merge_changes("t", a.changes("t"))
+    a.sql("UPDATE t SET v = 'z' WHERE v = 'x'")
+    b.sql("DELETE FROM t WHERE v = 'y'")
+    b.sql("UPDATE t SET v = 'later' WHERE v = 'x'")
+    to_b, to_a = (spark.createDataFrame(x.changes("t").collect(), x.changes("t").schema) for x in (a, b))
+    a.merge_changes("t", to_a)
+    b.merge_changes("t", to_b)
+    assert content(a) == content(b) == [(1, "later")]
+    a.sql("INSERT INTO t VALUES ('new')")  # its id and time come after all that was merged
+    assert content(a)[-1] == (3, "new")
+
+
+def test_stream_equals_batch(spark, tmp_path, replicas):
+    rng, folder = random.Random(5), str(tmp_path / "changes")
+    for part in range(4):
+        rows = [(rng.randrange(12), rng.choice(["upsert", "upsert", "delete"]), part * 50 + k if rng.random() < 0.8 else k, part * 50 + k, f"{part}-{k}") for k in range(50)]
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(folder)
+    batch = state(lww.live(lww.winners(spark.read.parquet(folder))))
+    query = stream.current(stream.read_changes(spark, folder, CHANGES)).writeStream.outputMode("complete").format("memory").queryName("lww_now").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert state(lww.live(spark.table("lww_now"))) == batch
+    s = replicas[0]
+    for _ in range(2):  # the second run has nothing left to send
+        stream.merge_into(stream.read_changes(spark, folder, CHANGES), lambda df: s.merge_changes("t", df), str(tmp_path / "check")).awaitTermination()
+    assert content(s) == sorted((r[0], r[3]) for r in batch)
+
+
+def test_windows(spark):
+    df = spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", "a") for m in (1, 4, 11, 30)], "ts string, k string").withColumn("ts", F.col("ts").cast("timestamp"))
+    n = F.count(F.lit(1)).alias("n")
+    assert sorted(r.n for r in windows.tumbling(df, "ts", "10 minutes", ["k"], [n]).collect()) == [1, 1, 2]
+    assert sorted(r.n for r in windows.sessions(df, "ts", "8 minutes", ["k"], [n]).collect()) == [1, 3]
+
+
+def test_range_and_asof_join(spark):
+    points = spark.createDataFrame([("a", 1), ("a", 7), ("b", 25)], "k string, t bigint")
+    spans = spark.createDataFrame([(0, 5, "x"), (5, 30, "y"), (9, 9, "none")], "lo bigint, hi bigint, name string")
+    assert sorted((r.t, r.name) for r in joins.range_join(points, spans, "t", "lo", "hi", 10).collect()) == [(1, "x"), (7, "y"), (25, "y")]
+    quotes = spark.createDataFrame([("a", 1, 10), ("a", 6, 20), ("b", 26, 30)], "k string, qt bigint, price bigint")
+    assert sorted((r.k, r.t, r.price) for r in joins.asof_join(points, quotes, "k", "t", "qt", ["price"]).collect()) == [("a", 1, 10), ("a", 7, 20), ("b", 25, None)]
+
+
+def test_formats(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "a bigint, b string")
+    for kind in ("parquet", "jsonl", "orc"):
+        formats.write(df, f"{tmp_path}/{kind}", kind)
+        assert sorted(map(tuple, formats.read(spark, f"{tmp_path}/{kind}", kind, df.schema).collect())) == [(1, "x"), (2, None)]
+    assert formats.values(spark, [(1, "x")], df.schema).collect() == [(1, "x")]
+
+
+def test_broadcast_only_what_is_small(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/s")
+    small = joins.small(spark.read.parquet(f"{tmp_path}/s"))
+    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
