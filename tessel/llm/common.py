@@ -77,3 +77,11 @@ def crc_fold(id_col: str | Column) -> Column:
     """Fold of a document: crc32 of its id as text, modulo 3; null ids fall into fold 0."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(3)), F.lit(0))
+
+
+def without_spans(text: Column, spans: Column, instead: str) -> Column:
+    """A text with each of its sorted, disjoint spans (``start``, ``end`` in code points) replaced."""
+    begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda c: c["end"]))
+    ends = F.concat(F.transform(spans, lambda c: c["start"]), F.array(F.length(text)))
+    between = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda p: F.substring(text, p["b"] + 1, p["e"] - p["b"]))
+    return F.array_join(between, instead)

@@ -86,9 +86,11 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 def keep(docs: DataFrame, weights: np.ndarray, least: float, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that score ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    places = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    rows, text = docs.toDF(*places), places[docs.columns.index(text_col)]
 
     def run(batches):  # noqa: ANN001, ANN202
-        for piece in slices(batches, text_col):
-            yield piece.filter(pa.array(probabilities(as_bytes(piece.column(text_col)), shared.value) >= least))
+        for piece in slices(batches, text):
+            yield piece.filter(pa.array(probabilities(as_bytes(piece.column(text)), shared.value) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -22,6 +22,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import without_spans
+
 MARK = "\x01"
 #: Key-like runs of 12 characters or more with a digit among the first 40, and quoted values of assignments.
 CANDIDATE = r"""(?<![A-Za-z0-9])(?=[A-Za-z+/_-]{0,40}+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}|(?<=[=:] ?["'])[^\s"']{8,200}(?=["'])"""
@@ -136,11 +138,10 @@ def scan(df: DataFrame, model: RandomForestClassificationModel | None = None, id
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
     """``df`` with each secret replaced by ``mask``; every row stays.  Rows of one id are taken for one text if their texts are equal."""
     text = F.col(f"`{text_col}`")
-    keyed = df.withColumn("__key", F.xxhash64(F.col(f"`{id_col}`"), text))
-    found = scan(keyed, None, "__key", text_col, path_col).filter("is_secret")
-    cuts = found.groupBy(F.col("__id").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
-    begins = F.concat(F.array(F.lit(0)), F.transform("__cuts", lambda c: c["end"]))
-    ends = F.concat(F.transform("__cuts", lambda c: c["start"]), F.array(F.length(text)))
-    masked = F.array_join(F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda p: F.substring(text, p["b"] + 1, p["e"] - p["b"])), mask)
-    joined = keyed.join(cuts, keyed["__key"] == cuts["__of"], "left")
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(masked)).select(*df.columns)
+    path = F.col(f"`{path_col}`") if path_col else F.lit("")
+    keyed = df.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"), path.alias("path"), F.struct("*").alias("row"))
+    found = scan(keyed, None, "key", "text", "path").filter("is_secret")
+    cuts = found.groupBy(F.col("__id").alias("of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    joined = keyed.join(cuts, keyed["key"] == cuts["of"], "left")
+    masked = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("cuts"), mask))
+    return joined.select(F.col("row").withField(f"`{text_col}`", masked).alias("row")).select("row.*")

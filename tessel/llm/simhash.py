@@ -254,7 +254,9 @@ def hex_digits(fp: Column) -> Column:
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
     """Rows of ``df`` less all but one document of each group: the one with the smallest id (of repeated rows, one)."""
     groups = near_duplicates(df, id_col, text_col, shingle_words, radius)
-    keep = groups.filter(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("__id").agg(F.lit(1).alias("__one"))
-    kept = df.join(keep, df[id_col].eqNullSafe(keep["__id"])).drop("__id", "__one")
-    repeated = df.groupBy(id_col).count().filter("count > 1").limit(1)
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    keep = groups.filter(F.col("__id").eqNullSafe(F.col("component_id"))).select(F.col("__id").alias("keep")).distinct()
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.struct("*").alias("row"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("keep")))
+    if not rows.groupBy("id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id"])
+    return kept.select("row.*")

@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from tessel.llm import decontaminate, queries, quality_model, secret_scan, sentencepieces, simhash
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_oracle(spark, folder, name):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = c.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in got.description]
+    df = queries.queries()[name](spark, folder)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(str(tuple(r[n] for n in names)) for r in df.collect()) == sorted(map(str, got.fetchall()))
+
+
+def test_names():
+    assert [k.split("_")[0] for k in queries.queries()] == [*[f"op{n}" for n in range(1, 11)], "pipeline"]
+
+
+def test_pipeline_equals_brute_force(spark, folder):
+    """Each stage on what the one before kept, by plain means: dictionaries, all pairs, the library."""
+    import re
+
+    import numpy as np
+    import sentencepiece as spm
+
+    from .test_simhash import brute_fingerprint, brute_roots
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    weights = quality_model.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    scores = quality_model.probabilities([t.encode() for t in rows.values()], weights)
+    rows = {i: t for (i, t), s in zip(rows.items(), scores, strict=True) if s >= corpus_pipeline.LEAST_QUALITY}
+    fps = {i: brute_fingerprint(t) for i, t in rows.items()}
+    group, least = brute_roots(list(fps.values())), {}
+    for i, f in fps.items():
+        least[group[f]] = min(i, least.get(group[f], i))
+    rows = {i: rows[i] for i in sorted(least.values())}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    index = decontaminate.Index.of(items, decontaminate.Q, decontaminate.EDIT_SHARE)
+    held = {list(rows)[t] for t, *_ in decontaminate.occurrences(list(rows.values()), index)}
+    assert {i for i, t in rows.items() if any(b in t for _, b in items)} <= held
+    rows = {i: re.sub(r'(?i)(token = ")[0-9a-f]{40}(")', r"\1[SECRET]\2", t) for i, t in rows.items() if i not in held}
+    lib = spm.SentencePieceProcessor(model_file=queries.VOCABULARY)
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()}
+    assert got == {i: lib.encode(t) for i, t in rows.items()}
+    assert np.mean(scores >= 0.5) > 0.7
+
+
+def test_stages_keep_columns(spark, odd_documents, no_documents, folder):
+    plain = odd_documents.select("doc_id", "text", "lang", "source", "n_chars")
+    for docs in (plain, no_documents):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "benchmark", "secrets", "tokens"]
+
+
+def test_nothing_else_imports_the_package():
+    import pathlib
+
+    root = pathlib.Path(queries.__file__).parents[1]
+    for path in root.rglob("*.py"):
+        if path.parent.name != "llm":
+            assert "llm" not in path.read_text(), path
+    assert simhash and secret_scan and sentencepieces

@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessel.llm import queries, secret_scan
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(secret_scan.findings_table(spark, secret_scan.labelled_findings(600)))
+
+
+def test_held_out_findings(spark, forest):
+    rows = secret_scan.findings_table(spark, secret_scan.labelled_findings(300, seed=99))
+    f = secret_scan.features(*[F.col(c) for c in ("candidate", "path", "before", "after")])
+    from pyspark.ml.feature import VectorAssembler
+
+    judged = forest.transform(VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="v").transform(rows.select(F.col("label"), *[c.alias(k) for k, c in f.items()])))
+    right = judged.filter("label = prediction").count()
+    assert right / 600 > 0.95
+
+
+def test_offsets_equal_brute_force(spark):
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'a\x01b é😀 token = "{token}" and card 4785380592391139, {token}', "no secret here at all", None, "", f"{token}\n{token}"]
+    pattern = re.compile(secret_scan.CANDIDATE.replace("(?<=[=:] ?[\"'])", "(?:(?<=[=:] [\"'])|(?<=[=:][\"']))"))
+    df = spark.createDataFrame([(k, t, "src") for k, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    got = sorted((r["__id"], r.start, r.end, r.candidate) for r in secret_scan.candidates(df).collect())
+    assert got == sorted((k, m.start(), m.end(), m[0]) for k, t in enumerate(texts) if t for m in pattern.finditer(t))
+
+
+def test_query_finds_tokens_and_leaves_numbers(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r.doc_id, m.start(1), m.end(1)) for r in docs for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text))
+    rows = queries.op3_secret_scan(spark, folder).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in rows if r.is_secret) == want and len(want) > 10
+    assert all(0 <= r.score <= 1 for r in rows) and any(not r.is_secret for r in rows)
+
+
+def test_plan_is_native(spark, folder):
+    plan = queries.op3_secret_scan(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_redaction(spark):
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f'é thst token = "{token}" x secret = "{token[::-1]}" order 4785380592391139 end'
+    df = spark.createDataFrame([(1, text, "s"), (2, "plain", "s"), (3, None, None)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert got == {1: text.replace(token, "[SECRET]").replace(token[::-1], "[SECRET]"), 2: "plain", 3: None}
+
+
+def test_odd_rows(odd_documents, no_documents, forest):
+    secret_scan.scan(odd_documents, forest).collect()
+    assert secret_scan.redact(odd_documents).count() == odd_documents.count()
+    assert secret_scan.scan(no_documents, forest).collect() == []
