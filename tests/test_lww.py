@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessel.operators import joins, lww
 from tessel.session import EngineSession
-from tessel.sources import formats
+from tessel.sources import formats, results
 from tessel.streaming import lww as stream
 from tessel.streaming import windows
 
@@ -127,3 +127,10 @@ def test_broadcast_only_what_is_small(spark, tmp_path):
     spark.range(10).write.parquet(f"{tmp_path}/s")
     small = joins.small(spark.read.parquet(f"{tmp_path}/s"))
     assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
+
+
+def test_results_as_text(spark):
+    df = spark.sql("SELECT true AS a, CAST(NULL AS INT) AS a, 2.5D AS b, parse_json('{\"x\": [1]}') AS c, 'é' AS d")
+    assert list(results.text_rows(df)) == [("1", None, "2.5", '{"x":[1]}', "é")]
+    assert results.as_text(df).columns == ["a", "a", "b", "c", "d"]
+    assert results.typed_batches(df.select("b")).num_rows == 1

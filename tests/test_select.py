@@ -195,3 +195,12 @@ def test_filters_reach_the_scan(spark, tmp_path):
     s.register("x", spark.read.parquet(f"{tmp_path}/x"))
     plan = s.sql("SELECT id FROM x WHERE v > 10 AND t = '7'")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(v,10)" in plan and "EqualTo(t,7)" in plan
+
+
+def test_compat(s, spark):
+    c = EngineSession(spark, compat=True)
+    c.views = s.views
+    assert len(rows(c, "SELECT * FROM l JOIN r ON l.val = r.val")) == 1
+    assert len(rows(c, "SELECT * FROM l JOIN r ON l.val = r.val AND 1 = 1")) == 0
+    assert rows(c, "SELECT COUNT(*) FROM empty") == [] and rows(c, "SELECT COUNT(*) FROM l") == [(3,)]
+    assert len(rows(c, "SELECT * FROM bits WHERE a")) == 4
