@@ -29,8 +29,9 @@ from .common import ASCII_LOWER, as_bytes, cut, keyed_text, map_slices
 
 #: Distinct fingerprints looked at to group bits and to estimate candidates; it steers the plan only, never the result.
 PLAN_SAMPLE = 4000
-#: Index rows with one key beyond which the key's comparisons are dealt out in blocks.
+#: Index rows with one key, beyond a few times what even keys would have, from which the key's comparisons are dealt out in blocks.
 LIGHT_BUCKET = 32
+LIGHT_TIMES = 4
 #: Fingerprints a side in such a block.
 BLOCK = 1024
 
@@ -184,7 +185,8 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     around = F.flatten(F.array(*[tagged(k, keys(k)[1]) for k in range(len(parts))]))
     index = distinct.select("fp", F.explode(own).alias("s")).select("s.*", "fp")
     probe = distinct.select("fp", F.explode(around).alias("s")).select("s.*", F.col("fp").alias("q"))
-    heavy = cut(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n_index")).filter(F.col("n_index") > LIGHT_BUCKET))
+    limits = F.array(*[F.lit(LIGHT_BUCKET + LIGHT_TIMES * n // (1 << len(g))) for g, _ in parts])
+    heavy = cut(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n_index")).filter(F.col("n_index") > F.get(limits, F.col("part"))))
 
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("q"))) <= radius
     light = (
