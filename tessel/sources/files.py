@@ -25,7 +25,10 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Write a file that doesn't exist yet: whole, or not at all.  False if someone else was first."""
+        """Write a file that doesn't exist yet: whole, or not at all.  False if someone else was first.
+
+        On HDFS the rename itself refuses an existing name; on a local file system a moment lies between look and rename.
+        """
         fs, p = self._path(path)
         _, temp = self._path(f"{path}.{uuid.uuid4().hex}")
         stream = fs.create(temp, False)
