@@ -19,7 +19,6 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -188,16 +187,17 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     limits = F.array(*[F.lit(LIGHT_BUCKET + LIGHT_TIMES * n // (1 << len(g))) for g, _ in parts])
     heavy = cut(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n_index")).filter(F.col("n_index") > F.get(limits, F.col("part"))))
 
+    some_heavy = not heavy.isEmpty()
+    light_index, light_probe = (x.join(heavy, ["part", "key"], "left_anti") if some_heavy else x for x in (index, probe))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("q"))) <= radius
     light = (
-        probe.join(index.join(heavy, ["part", "key"], "left_anti"), ["part", "key"])
+        light_probe.join(light_index, ["part", "key"])
         .filter((F.col("fp") < F.col("q")) & close)
         .select(F.col("fp").alias("a"), F.col("q").alias("b"))
     )
-    if heavy.isEmpty():
+    if not some_heavy:
         return light.distinct()
-    hot_index, hot_probe = index.join(heavy, ["part", "key"]), probe.join(heavy, ["part", "key"])
-    counts = hot_probe.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n_probe"))
+    counts = probe.join(heavy, ["part", "key"]).groupBy("part", "key").agg(F.count(F.lit(1)).alias("n_probe"))
     wide = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     place = lambda c, of: F.pmod(F.xxhash64(c), wide(of)).cast("int")
     sized = cut(heavy.join(counts, ["part", "key"]))
@@ -206,11 +206,12 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         probe.join(sized, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0), wide("n_index") - 1)).alias("i"), place("q", "n_probe").alias("j"), F.col("q").alias("fp"), F.lit(False).alias("indexed")),
     ]
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps, side = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["indexed"].to_numpy(bool)
-        return pd.DataFrame(spanning(fps[side], fps[~side], radius), columns=["a", "b"], dtype="int64")
+    def block(table: pa.Table) -> pa.Table:
+        fps, side = table["fp"].to_numpy().view(np.uint64), table["indexed"].to_numpy()
+        edges = np.array(spanning(fps[side], fps[~side], radius), np.int64).reshape(-1, 2)
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    dense = sides[0].unionByName(sides[1]).groupBy("part", "key", "i", "j").applyInPandas(block, "a bigint, b bigint")
+    dense = sides[0].unionByName(sides[1]).groupBy("part", "key", "i", "j").applyInArrow(block, "a bigint, b bigint")
     return light.unionByName(dense).distinct()
 
 
@@ -224,9 +225,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # kept apart from the join, so that the edges of one node can be dealt over several tasks
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = cut(large)
+        down = cut(large.groupBy("b").agg(F.min("a").alias("m")))
         small = large.join(down, "b").select("m", "a", "b").select(F.explode(F.array(F.struct("m", F.col("a").alias("x")), F.struct("m", F.col("b").alias("x")))).alias("s"))
         edges = cut(small.select(F.col("s.m").alias("a"), F.col("s.x").alias("b")).filter("a < b").distinct())
         after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
