@@ -16,18 +16,15 @@ import json
 import random
 import string
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import without_spans
-
 MARK = "\x01"
 #: Key-like runs of 12 characters or more with a digit among the first 40, and quoted values of assignments.
 CANDIDATE = r"""(?<![A-Za-z0-9])(?=[A-Za-z+/_-]{0,40}+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}|(?<=[=:] ?["'])[^\s"']{8,200}(?=["'])"""
 NEIGHBOURS = 60
+THRESHOLD = 0.5
 #: Labelled findings that a fit looks at.
 TRAIN_ROWS = 4000
 
@@ -38,33 +35,29 @@ TEST_PATHS = r"(?i)test|example|sample|mock|fixture|demo"
 DICTIONARY = "example password changeme secret token your insert replace here sample dummy test value default foobar admin user hello world placeholder null none true false todo name string key config local host index module version build image file page data info".split()
 BIGRAMS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
 
-FEATURES = ["size", "transitions", "digits", "uppers", "distinct", "bigrams", "words", "path_test", "key_before", "assigned", "quoted", "innocent_near", "only_digits"]
-
-
-def share(whole: Column, rest: Column) -> Column:
-    return (F.length(whole) - F.length(rest)) / F.greatest(F.length(whole), F.lit(1))
 
-
-def features(candidate: Column, path: Column, before: Column, after: Column) -> dict[str, Column]:
-    low = F.lower(candidate)
-    classes = F.translate(candidate, string.ascii_uppercase + string.ascii_lowercase + string.digits, "A" * 26 + "a" * 26 + "9" * 10)
-    size = F.greatest(F.length(candidate), F.lit(1))
-    near = F.concat(before, F.lit(" "), after)
-    flag = lambda c: c.cast("double")
+def features(candidate: str, path: str, before: str, after: str) -> dict[str, str]:
+    """Features as SQL expressions over the SQL expressions of a candidate, its path and its neighbours."""
+    quoted = lambda pattern: "r\"" + pattern + "\""
+    share = lambda rest, of=candidate: f"(length({of}) - length({rest})) / greatest(length({of}), 1)"
+    without = lambda pattern, of=candidate: f"regexp_replace({of}, {quoted(pattern)}, '')"
+    flag = lambda cond: f"IF({cond}, 1D, 0D)"
+    low = f"lower({candidate})"
+    classes = f"translate({candidate}, '{string.ascii_uppercase + string.ascii_lowercase + string.digits}', '{'A' * 26 + 'a' * 26 + '9' * 10}')"
     return {
-        "size": F.length(candidate).cast("double"),
-        "transitions": F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) / size,
-        "digits": share(candidate, F.regexp_replace(candidate, "[0-9]", "")),
-        "uppers": share(candidate, F.regexp_replace(candidate, "[A-Z]", "")),
-        "distinct": F.size(F.array_distinct(F.split(candidate, ""))) / size,
-        "bigrams": share(low, F.regexp_replace(low, "|".join(BIGRAMS), "")),
-        "words": share(low, F.regexp_replace(low, "|".join(DICTIONARY), "")),
-        "path_test": flag(path.rlike(TEST_PATHS)),
-        "key_before": flag(before.rlike(KEY_WORDS)),
-        "assigned": flag(before.rlike(r"""(?:=|:|=>)\s*["']?$""")),
-        "quoted": flag(before.rlike(r"""["']$""") & after.rlike(r"""^["']""")),
-        "innocent_near": flag(near.rlike(INNOCENT_WORDS)),
-        "only_digits": flag(candidate.rlike(r"^[0-9_+/=-]+$")),
+        "size": f"CAST(length({candidate}) AS DOUBLE)",
+        "transitions": f"length(regexp_replace({classes}, {quoted(r'(.)\1+')}, '$1')) / greatest(length({candidate}), 1)",
+        "digits": share(without("[0-9]")),
+        "uppers": share(without("[A-Z]")),
+        "distinct": f"size(array_distinct(split({candidate}, ''))) / greatest(length({candidate}), 1)",
+        "bigrams": share(without("|".join(BIGRAMS), low), low),
+        "words": share(without("|".join(DICTIONARY), low), low),
+        "path_test": flag(f"{path} RLIKE {quoted(TEST_PATHS)}"),
+        "key_before": flag(f"{before} RLIKE {quoted(KEY_WORDS)}"),
+        "assigned": flag(f"{before} RLIKE {quoted(r'(?:=|:|=>)\s*[\x22\x27]?$')}"),
+        "quoted": flag(f"{before} RLIKE {quoted(r'[\x22\x27]$')} AND {after} RLIKE {quoted(r'^[\x22\x27]')}"),
+        "innocent_near": flag(f"concat({before}, ' ', {after}) RLIKE {quoted(INNOCENT_WORDS)}"),
+        "only_digits": flag(f"{candidate} RLIKE {quoted('^[0-9_+/=-]+$')}"),
     }
 
 
@@ -103,45 +96,103 @@ def findings_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 5) -> RandomForestClassificationModel:
-    """A forest from labelled findings (``candidate``, ``path``, ``before``, ``after``, ``label``), of which it takes at most ``TRAIN_ROWS``."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = findings.orderBy(F.xxhash64("candidate", "before", "after")).limit(TRAIN_ROWS).coalesce(1)
-    rows = rows.select(F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in features(text("candidate"), text("path"), text("before"), text("after")).items()])
-    forest = RandomForestClassifier(labelCol="label", featuresCol="v", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)
-    return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="v").transform(rows))
+Tree = float | tuple[int, float, "Tree", "Tree"]
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
+    """A tree of nested ``(feature, threshold, at most, above)``; each split tries a part of the features and least mixes the labels."""
+    share = float(y.mean())
+    if depth == 0 or share in (0.0, 1.0):
+        return share
+    best = (share * (1 - share) - 1e-9, -1, 0.0)
+    for k in rng.choice(x.shape[1], max(1, round(x.shape[1] ** 0.5)), replace=False):
+        edges = np.unique(np.quantile(x[:, k], np.linspace(0, 1, 34)[1:-1]))
+        for t in (edges[:-1] + edges[1:]) / 2 if len(edges) > 1 else edges:
+            under = x[:, k] <= t
+            n = int(under.sum())
+            if 0 < n < len(y):
+                p, q = y[under].mean(), y[~under].mean()
+                mixed = (n * p * (1 - p) + (len(y) - n) * q * (1 - q)) / len(y)
+                if mixed < best[0]:
+                    best = (mixed, int(k), float(t))
+    if best[1] < 0:
+        return share
+    under = x[:, best[1]] <= best[2]
+    return best[1], best[2], grow(x[under], y[under], depth - 1, rng), grow(x[~under], y[~under], depth - 1, rng)
+
+
+def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 5) -> list[Tree]:
+    """A forest from labelled findings (``candidate``, ``path``, ``before``, ``after``, ``label``), of which it takes at most ``TRAIN_ROWS``.
+
+    Features are computed as they are for scoring; the driver gets no more than so many rows of numbers.
+    """
+    text = lambda c: f"coalesce({c}, '')"
+    rows = findings.orderBy(F.xxhash64("candidate", "before", "after")).limit(TRAIN_ROWS)
+    got = rows.selectExpr("CAST(label AS DOUBLE) AS label", *[f"{e} AS {k}" for k, e in features(*map(text, ("candidate", "path", "before", "after"))).items()]).collect()
+    table = np.array([tuple(r) for r in got], np.float64)
+    rng, forest = np.random.default_rng(seed), []
+    for _ in range(trees):
+        own = rng.integers(len(table), size=len(table))
+        forest.append(grow(table[own, 1:], table[own, 0], depth, rng))
+    return forest
+
+
+def tree_value(tree: Tree, row: list[float]) -> float:
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def tree_sql(tree: Tree, names: list[str]) -> str:
+    """A tree as nested conditions on the fields of a struct ``f``."""
+    if not isinstance(tree, tuple):
+        return f"{tree:.9f}D"
+    return f"IF(f.{names[tree[0]]} <= {tree[1]:.17g}D, {tree_sql(tree[2], names)}, {tree_sql(tree[3], names)})"
+
+
+def score(forest: list[Tree], candidate: str, path: str, before: str, after: str) -> str:
+    """Likelihood of a secret in SQL: the mean of the trees, over features that are computed once."""
+    made = features(candidate, path, before, after)
+    struct = ", ".join(f"'{k}', {e}" for k, e in made.items())
+    total = " + ".join(tree_sql(t, list(made)) for t in forest)
+    return f"element_at(transform(array(named_struct({struct})), f -> ROUND(({total}) / {len(forest)}, 6)), 1)"
+
+
+def taking_turns(text: Column) -> Column:
+    """Text and candidates in turn, from text to text."""
+    return F.split(F.regexp_replace(text, f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK)
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """``__id``, ``__row``, ``start``, ``end``, ``candidate``, ``path``, ``before``, ``after`` of every candidate."""
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
     rows = df.select(F.col(f"`{id_col}`").alias("__id"), path.alias("path"), F.translate(F.col(f"`{text_col}`"), MARK, " ").alias("t")).filter(F.col("t").rlike(CANDIDATE))
-    parts = rows.select("__id", "path", F.monotonically_increasing_id().alias("__row"), F.split(F.regexp_replace("t", f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK).alias("p"))
-    # text and candidate take turns; a candidate knows the gap before it, so its place is a sum over its text's candidates
-    at = lambda i: F.element_at("p", i)
-    found = F.transform(F.sequence(F.lit(2), F.size("p"), F.lit(2)), lambda i: F.struct(i.alias("k"), F.length(at(i - 1)).alias("gap"), at(i).alias("candidate"), F.right(at(i - 1), F.lit(NEIGHBOURS)).alias("before"), F.left(at(i + 1), F.lit(NEIGHBOURS)).alias("after")))
+    parts = rows.select("__id", "path", F.monotonically_increasing_id().alias("__row"), taking_turns(F.col("t")).alias("p"))
+    gap, before, after = "length(get(p, k - 1))", f"right(get(p, k - 1), {NEIGHBOURS})", f"left(get(p, k + 1), {NEIGHBOURS})"
+    found = F.expr(f"transform(sequence(1, size(p) - 1, 2), k -> named_struct('k', k, 'gap', {gap}, 'candidate', get(p, k), 'before', {before}, 'after', {after}))")
     each = parts.select("__id", "__row", "path", F.explode(found).alias("s")).select("__id", "__row", "path", "s.*")
+    # a candidate knows the gap before it, so its place is a sum over its text's candidates
     upto = F.sum(F.col("gap") + F.length("candidate")).over(Window.partitionBy("__row").orderBy("k"))
     return each.withColumn("end", upto.cast("int")).withColumn("start", (F.col("end") - F.length("candidate")).cast("int")).drop("gap", "k")
 
 
-def scan(df: DataFrame, model: RandomForestClassificationModel | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
+def own_forest(spark: SparkSession) -> list[Tree]:
+    return train(findings_table(spark, labelled_findings()))
+
+
+def scan(df: DataFrame, forest: list[Tree] | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """``__id``, ``start``, ``end``, ``candidate``, ``score``, ``is_secret`` of every candidate."""
-    model = model or train(findings_table(df.sparkSession, labelled_findings()))
     found = candidates(df, id_col, text_col, path_col)
-    found = found.select("__id", "start", "end", "candidate", *[c.alias(n) for n, c in features(F.col("candidate"), F.col("path"), F.col("before"), F.col("after")).items()])
-    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol=model.getFeaturesCol()).transform(found))
-    score = F.round(vector_to_array("probability")[1], 6)
-    return judged.select("__id", "start", "end", "candidate", score.alias("score"), (score >= threshold).alias("is_secret"))
-
-
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
-    """``df`` with each secret replaced by ``mask``; every row stays.  Rows of one id are taken for one text if their texts are equal."""
-    text = F.col(f"`{text_col}`")
-    path = F.col(f"`{path_col}`") if path_col else F.lit("")
-    keyed = df.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"), path.alias("path"), F.struct("*").alias("row"))
-    found = scan(keyed, None, "key", "text", "path").filter("is_secret")
-    cuts = found.groupBy(F.col("__id").alias("of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    joined = keyed.join(cuts, keyed["key"] == cuts["of"], "left")
-    masked = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("cuts"), mask))
-    return joined.select(F.col("row").withField(f"`{text_col}`", masked).alias("row")).select("row.*")
+    likely = F.expr(score(forest or own_forest(df.sparkSession), "candidate", "path", "before", "after"))
+    return found.select("__id", "start", "end", "candidate", likely.alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+
+
+def redact(df: DataFrame, forest: list[Tree] | None = None, text_col: str = "text", path_col: str | None = "source", mask: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
+    """``df`` with each secret replaced by ``mask``: row by row, without a shuffle.  In a text with candidates, U+0001 becomes a blank."""
+    path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
+    text = F.translate(F.col(f"`{text_col}`"), MARK, " ")
+    rows = df.select(F.struct("*").alias("row"), path.alias("path"), F.lit(mask).alias("mask"), F.when(text.rlike(CANDIDATE), taking_turns(text)).alias("p"))
+    likely = score(forest or own_forest(df.sparkSession), "x", "path", f"right(get(p, k - 1), {NEIGHBOURS})", f"left(get(p, k + 1), {NEIGHBOURS})")
+    masked = F.expr(f"array_join(transform(p, (x, k) -> IF(k % 2 = 1 AND {likely} >= {threshold}, mask, x)), '')")
+    new = F.when(F.col("p").isNull(), F.col(f"row.`{text_col}`")).otherwise(masked)
+    return rows.select(F.col("row").withField(f"`{text_col}`", new).alias("row")).select("row.*")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,12 +16,20 @@ def forest(spark):
 
 def test_held_out_findings(spark, forest):
     rows = secret_scan.findings_table(spark, secret_scan.labelled_findings(300, seed=99))
-    f = secret_scan.features(*[F.col(c) for c in ("candidate", "path", "before", "after")])
-    from pyspark.ml.feature import VectorAssembler
+    names = ("candidate", "path", "before", "after")
+    made = secret_scan.features(*names)
+    got = rows.select("label", F.expr(secret_scan.score(forest, *names)).alias("score"), *[F.expr(e).alias(k) for k, e in made.items()]).collect()
+    assert np.mean([(r.score >= 0.5) == r.label for r in got]) > 0.95
+    # the expression is the forest
+    assert [r.score for r in got] == pytest.approx([np.mean([secret_scan.tree_value(t, list(r)[2:]) for t in forest]) for r in got], abs=2e-6)
 
-    judged = forest.transform(VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="v").transform(rows.select(F.col("label"), *[c.alias(k) for k, c in f.items()])))
-    right = judged.filter("label = prediction").count()
-    assert right / 600 > 0.95
+
+def test_features(spark):
+    made = secret_scan.features("c", "p", "b", "a")
+    df = spark.createDataFrame([("aaaB12", "tests/x", 'my token = "', '" rest'), ("123456", "src", "order ", ""), ("", "", "", "")], "c string, p string, b string, a string")
+    got = [tuple(r) for r in df.select(*[F.expr(e).alias(k) for k, e in made.items()]).collect()]
+    assert got[0] == pytest.approx((6, 3 / 6, 2 / 6, 1 / 6, 4 / 6, 0, 0, 1, 1, 1, 1, 0, 0))
+    assert got[1][-2:] == (1, 1) and got[2][0] == 0
 
 
 def test_offsets_equal_brute_force(spark):
@@ -45,15 +54,15 @@ def test_plan_is_native(spark, folder):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_redaction(spark):
+def test_redaction(spark, forest):
     token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     text = f'é thst token = "{token}" x secret = "{token[::-1]}" order 4785380592391139 end'
     df = spark.createDataFrame([(1, text, "s"), (2, "plain", "s"), (3, None, None)], "doc_id bigint, text string, source string")
-    got = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    got = {r.doc_id: r.text for r in secret_scan.redact(df, forest).collect()}
     assert got == {1: text.replace(token, "[SECRET]").replace(token[::-1], "[SECRET]"), 2: "plain", 3: None}
 
 
 def test_odd_rows(odd_documents, no_documents, forest):
     secret_scan.scan(odd_documents, forest).collect()
-    assert secret_scan.redact(odd_documents).count() == odd_documents.count()
+    assert secret_scan.redact(odd_documents, forest).count() == odd_documents.count()
     assert secret_scan.scan(no_documents, forest).collect() == []
