@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,34 @@ def sigmoid(x: float | np.ndarray) -> float | np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, featurise: Callable[[bytes], np.ndarray], id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> list[tuple[int, np.ndarray]]:
-    """``(label, features)`` of at most ``rows`` labelled documents outside the held-out fold, in an order fixed by their ids.
+@dataclass
+class Sample:
+    """Labelled texts: features of all of them end to end, each feature of a text once, with how often it stands there."""
 
-    An id with several labels takes the largest, one with several texts the first; null labels and ids don't count.
+    label: np.ndarray
+    size: np.ndarray  # of a text, as its features count it
+    at: np.ndarray
+    count: np.ndarray
+    offsets: np.ndarray
+
+    def rows(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Label, size, features and counts of each text, as views."""
+        for k, y in enumerate(self.label.tolist()):
+            own = slice(self.offsets[k], self.offsets[k + 1])
+            yield y, int(self.size[k]), self.at[own], self.count[own]
+
+    @staticmethod
+    def of(rows: list[tuple[int, tuple[int, np.ndarray]]]) -> Sample:
+        made = [(y, size, *np.unique(at, return_counts=True)) for y, (size, at) in rows]
+        join = lambda k: np.concatenate([r[k] for r in made]).astype(np.int32) if made else np.zeros(0, np.int32)
+        return Sample(np.array([r[0] for r in made], np.int32), np.array([r[1] for r in made], np.int32), join(2), join(3), np.concatenate([[0], np.cumsum([len(r[2]) for r in made])]).astype(np.int64))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, featurise: Callable[[bytes], tuple[int, np.ndarray]], id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Sample:
+    """At most ``rows`` labelled documents outside the held-out fold, in an order fixed by their ids.
+
+    ``featurise`` gives a text's size and its features.  An id with several labels takes the
+    largest, one with several texts the first; null labels and ids don't count.
     """
     one = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__label")).dropna()
     chosen = one.filter(crc_fold("__id") != 1).groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
@@ -58,21 +83,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, featurise: C
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        found = [featurise(t) for t in as_bytes(piece.column("__text"))]
-        return pa.RecordBatch.from_arrays([piece.column("__id"), piece.column("__label"), pa.array(found, pa.list_(pa.int32()))], ["__id", "__label", "at"])
-
-    sample = map_slices(texts.select("__id", "__label", "__text"), run, f"__id {kind}, __label int, at array<int>")
-    sample = sample.groupBy("__id").agg(F.min(F.struct("__label", "at")).alias("s")).orderBy(F.xxhash64("__id"), "__id").select("s.*")
-    return [(int(y), np.asarray(a, np.int64)) for y, a in arrow_rows(sample)]
-
-
-def arrow_rows(df: DataFrame) -> Iterable[tuple[int, np.ndarray]]:
-    data = df.toArrow()
-    for batch in data.to_batches():
-        values = batch.column(1)
-        flat, offsets = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
-        for i, y in enumerate(batch.column(0).to_pylist()):
-            yield y, flat[offsets[i] : offsets[i + 1]]
+        own = Sample.of([(y, featurise(t)) for y, t in zip(piece.column("__label").to_pylist(), as_bytes(piece.column("__text")), strict=True)])
+        lists = [pa.ListArray.from_arrays(pa.array(own.offsets, pa.int32()), pa.array(x)) for x in (own.at, own.count)]
+        return pa.RecordBatch.from_arrays([piece.column("__id"), pa.array(own.label), pa.array(own.size), *lists], ["__id", "__label", "size", "at", "count"])
+
+    sample = map_slices(texts.select("__id", "__label", "__text"), run, f"__id {kind}, __label int, size int, at array<int>, count array<int>")
+    sample = sample.groupBy("__id").agg(F.min(F.struct("__label", "size", "at", "count")).alias("s")).orderBy(F.xxhash64("__id"), "__id").select("s.*")
+    data = sample.toArrow().combine_chunks()
+    if not data.num_rows:
+        return Sample.of([])
+    y, size, at, count = (x.chunk(0) for x in data.columns)
+    return Sample(y.to_numpy(), size.to_numpy(), at.values.to_numpy(), count.values.to_numpy(), at.offsets.to_numpy())
 
 
 def score_texts(df: DataFrame, score: Callable[[list[bytes]], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -59,12 +59,11 @@ def features(text: bytes) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", epochs: int = 3) -> np.ndarray:
     """Weights of all buckets and the bias."""
-    sample = labelled_sample(docs, labels, label, features, id_col, text_col)
+    sample = labelled_sample(docs, labels, label, lambda t: (len(f := features(t)), f), id_col, text_col)
     model = FTRL(BUCKETS, alpha=0.5, l1=0.05, l2=0.1)
-    rows = [(y, *np.unique(at, return_counts=True), max(1, len(at))) for y, at in sample]
     for _ in range(epochs):
-        for y, at, count, n in rows:
-            model.learn(at, SCALE * count / n, float(y > 0))
+        for y, n, at, count in sample.rows():
+            model.learn(at, SCALE * count / max(1, n), float(y > 0))
     return model.dense().astype(np.float32)
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .licenses import WORD_BYTES
-from .linear import FTRL, labelled_sample, score_texts, sigmoid
+from .linear import FTRL, Sample, labelled_sample, score_texts, sigmoid
 
 BUCKETS = 1 << 20
 PREFIXES = (5, 6, 7)
@@ -48,10 +48,10 @@ def buckets(word: bytes) -> list[int]:
     return [bucket(word), *(bucket(b"^" + word[:k]) for k in PREFIXES if len(word) >= k)]
 
 
-def features(text: bytes) -> np.ndarray:
-    """The number of words, then the buckets of all words, repeats included."""
+def features(text: bytes) -> tuple[int, np.ndarray]:
+    """The number of words and the buckets of all of them, repeats included."""
     words = text.translate(WORD_BYTES).split()
-    return np.array([len(words), *(b for w in words for b in buckets(w))], np.int32)
+    return len(words), np.array([b for w in words for b in buckets(w)], np.int32)
 
 
 def scale(n_words: int) -> float:
@@ -65,17 +65,17 @@ def swap(held: list[int], rng: np.random.Generator) -> tuple[list[int], list[int
     return [b for b in held if b not in new], sorted(new.difference(held))
 
 
-def fit_rows(sample: list[tuple[int, np.ndarray]], penalty: float = 1.0, epochs: int = 6, positive_weight: float = 2.0, least_texts: int = 8) -> np.ndarray:
+def fit_rows(sample: Sample, penalty: float = 1.0, epochs: int = 6, positive_weight: float = 2.0, least_texts: int = 8) -> np.ndarray:
     """Weights of all buckets and the bias; what stands in fewer than ``least_texts`` labelled texts isn't learnt."""
     model, rng = FTRL(BUCKETS, alpha=0.5, l1=3.0, l2=0.02), np.random.default_rng(7)
-    seen = np.zeros(BUCKETS, np.int64)
-    counted = [(y, *np.unique(at[1:], return_counts=True), scale(int(at[0]))) for y, at in sample]
-    for _, at, _, _ in counted:
-        seen[at] += 1
+    seen = np.bincount(sample.at, minlength=BUCKETS)
     known = seen >= least_texts
     known[IDENTITY] = True
     named = set(IDENTITY.tolist())
-    rows = [(y, at[known[at]], (value * count)[known[at]], value, sorted(named.intersection(at.tolist()))) for y, at, count, value in counted]
+    rows = []
+    for y, n, at, count in sample.rows():
+        own = known[at]
+        rows.append((y, at[own], scale(n) * count[own], scale(n), sorted(named.intersection(at.tolist()))))
     for _ in range(epochs):
         for y, at, x, value, held in rows:
             model.learn(at, x, float(y > 0), positive_weight if y > 0 else 1.0)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessel.llm import quality_model, queries, toxicity
-from tessel.llm.linear import FTRL
+from tessel.llm.linear import FTRL, Sample
 
 
 def held_out(spark, folder, name, label):
@@ -52,7 +52,7 @@ def test_counterfactuals_take_the_weight_from_identity_terms():
     neutral, plain = b"my gay friend wrote word1 word2 and word3 today", b"my good friend wrote word1 word2 and word3 today"
     gaps, abusive = [], []
     for penalty in (0.0, 1.0):
-        scorer = toxicity.Scorer(toxicity.fit_rows(sample, penalty))
+        scorer = toxicity.Scorer(toxicity.fit_rows(Sample.of(sample), penalty))
         gaps.append(scorer.logit(neutral) - scorer.logit(plain))
         abusive.append(scorer.logit(b"word1 word4 scumbag word9") - scorer.logit(b"word1 word4 river word9"))
     assert gaps[0] > 1 and abs(gaps[1]) < 0.25 * gaps[0] and abusive[1] > 1
