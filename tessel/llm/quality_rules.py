@@ -24,6 +24,9 @@ SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 
 WINDOW = 8
+#: Rejected hosts that may go to every executor (a name of some tens of bytes each); beyond that the join is dealt out with salts.
+BROADCAST_HOSTS = 100_000
+SALTS = 32
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -109,6 +112,12 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     """``__id``, the measures, ``base_failed``, ``host_rejected`` and ``kept`` of every row."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     docs = cut(measured(df, id_col, text_col, host_col).withColumn("base_failed", failed))
-    verdicts = host_verdicts(docs).select("__of", "host_rejected")
-    rejected = F.coalesce("host_rejected", F.lit(False))
-    return docs.join(verdicts, docs["__host"] == verdicts["__of"], "left").select("__id", "__host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", rejected.alias("host_rejected"), (~F.col("base_failed") & ~rejected).alias("kept"))
+    rejected = cut(host_verdicts(docs).filter("host_rejected").select("__of"))
+    if rejected.count() <= BROADCAST_HOSTS:
+        joined = docs.join(F.broadcast(rejected), docs["__host"] == rejected["__of"], "left")
+    else:  # a host may have most of all documents, so each is dealt over several tasks
+        salted = rejected.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn("__of_salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, (dealt["__host"] == salted["__of"]) & (dealt["__of_salt"] == salted["__salt"]), "left")
+    bad = F.col("__of").isNotNull()
+    return joined.select("__id", "__host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", bad.alias("host_rejected"), (~F.col("base_failed") & ~bad).alias("kept"))

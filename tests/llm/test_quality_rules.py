@@ -56,6 +56,14 @@ def test_host_verdict(spark, prose):
         assert abs(verdicts[h].rate_base - (sum(v) + m * weight) / (len(v) + weight)) < 1e-9
 
 
+def test_salted_verdicts_are_the_same(spark, prose, monkeypatch):
+    rows = [(k, "short" if k % 10 else prose(1, 60), f"h{k % 3}") for k in range(60)] + [(None, prose(2, 60), "h1"), (99, prose(2, 60), "good")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = sorted(map(str, quality_rules.judge(df).collect()))
+    monkeypatch.setattr(quality_rules, "BROADCAST_HOSTS", 0)
+    assert sorted(map(str, quality_rules.judge(df).collect())) == want and "kept=True" in str(want)
+
+
 def test_odd_rows(odd_documents, no_documents):
     assert quality_rules.judge(odd_documents).count() == odd_documents.count()
     assert quality_rules.judge(no_documents).collect() == []
