@@ -39,6 +39,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids that may go to every executor (some 16 bytes each); a longer list meets the rows through a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str, limit: int | None = None) -> DataFrame:
+    """Rows of ``df`` whose id isn't in the only column of ``ids`` (distinct); null counts as an id.
+
+    A short list is broadcast, so the texts stay where they are.
+    """
+    ids = cut(ids.toDF("__gone"))
+    if ids.count() <= (BROADCAST_IDS if limit is None else limit):
+        ids = F.broadcast(ids)
+    return df.join(ids, df[f"`{id_col}`"].eqNullSafe(ids["__gone"]), "left_anti")
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``__id`` and ``__text``, so other columns of ``df`` can have any name."""
     return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, map_slices
+from .common import keyed_text, map_slices, without_ids
 
 Q = 10
 #: Edits allowed, as a share of an item's characters.
@@ -214,5 +214,4 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: Any) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    held = leaks(docs, benchmark, id_col, text_col, **how).select("__id").distinct()
-    return docs.join(held, docs[id_col].eqNullSafe(held["__id"]), "left_anti")
+    return without_ids(docs, leaks(docs, benchmark, id_col, text_col, **how).select("__id").distinct(), id_col)
