@@ -247,7 +247,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = cut(fps.groupBy("fp").agg(F.min("__id").alias("least")))
     tree = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # kept apart from the join, so that one large group can be dealt over several tasks
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     label = cut(rooted.join(named, "root").select("fp", "component_id"))
     return fps.join(label, "fp").select("__id", "fp", "component_id")
 
