@@ -24,7 +24,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = line_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    spans = line_dedup.repeated_spans(table(spark, sf_dir, "documents"), span_words=1, whole_lines=True)
     return spans.select(F.col("__id").alias("doc_id"), F.col("span").alias("unit"), "start", "end", "n_words", "n_units", F.col("first_id").alias("kept_doc_id"))
 
 
