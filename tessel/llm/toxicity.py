@@ -2,9 +2,10 @@
 
 Logistic regression on the words of a text and their stems (prefixes), by the
 root of the text's length.  For every labelled text, identity terms in it are
-swapped for others (in a text without any, one is put in), and the squared
-change of the score is penalised, so the terms themselves carry next to no
-weight and a neutral mention of a group isn't taken for abuse.
+swapped for others (in a text without any, one is put in), each with its stems
+and as often as it stands there, and the squared change of the score is
+penalised, so the terms themselves carry next to no weight and a neutral mention
+of a group isn't taken for abuse.
 
 Defined results: a null or empty text has no words and scores by the bias;
 without labels every score is 0.5; repeated rows are scored each; an empty
@@ -14,6 +15,7 @@ table gives an empty result.  Only the id and text of a document are read.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,14 +42,16 @@ def bucket(word: bytes) -> int:
     return (zlib.crc32(word) * 0x9E3779B1 & 0xFFFFFFFF) >> 12
 
 
-IDENTITY = np.unique([bucket(w.encode()) for w in IDENTITY_TERMS])
-
-
 def buckets(word: bytes) -> list[int]:
     """Of a word and of its longer prefixes, which stand for the stem of an inflected word."""
     return [bucket(word), *(bucket(b"^" + word[:k]) for k in PREFIXES if len(word) >= k)]
 
 
+#: Of each identity term all features, its own bucket first.
+IDENTITY = [buckets(w.encode()) for w in IDENTITY_TERMS]
+BY_BUCKET = {own[0]: own for own in IDENTITY}
+
+
 def features(text: bytes) -> tuple[int, np.ndarray]:
     """The number of words and the buckets of all of them, repeats included."""
     words = text.translate(WORD_BYTES).split()
@@ -59,10 +63,17 @@ def scale(n_words: int) -> float:
     return SCALE / max(1.0, n_words) ** 0.5
 
 
-def swap(held: list[int], rng: np.random.Generator) -> tuple[list[int], list[int]]:
-    """Identity terms that leave a text and that come instead; one comes where the text has none."""
-    new = set(IDENTITY[rng.integers(len(IDENTITY), size=max(1, len(held)))].tolist())
-    return [b for b in held if b not in new], sorted(new.difference(held))
+def swap(held: list[tuple[int, int]], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Features that change, and by how many, when each identity term ``(bucket, count)`` of a text goes and another comes as often; one comes where the text has none."""
+    change: Counter[int] = Counter()
+    new = [IDENTITY[k] for k in rng.integers(len(IDENTITY), size=max(1, len(held))).tolist()]
+    for (old, count), own in zip(held or [(None, 1)], new, strict=True):
+        for b in BY_BUCKET.get(old, ()):
+            change[b] += count
+        for b in own:
+            change[b] -= count
+    at = sorted(b for b, n in change.items() if n)
+    return np.array(at, np.int64), np.array([change[b] for b in at], float)
 
 
 def fit_rows(sample: Sample, penalty: float = 1.0, epochs: int = 6, positive_weight: float = 2.0, least_texts: int = 8) -> np.ndarray:
@@ -70,20 +81,18 @@ def fit_rows(sample: Sample, penalty: float = 1.0, epochs: int = 6, positive_wei
     model, rng = FTRL(BUCKETS, alpha=0.5, l1=3.0, l2=0.02), np.random.default_rng(7)
     seen = np.bincount(sample.at, minlength=BUCKETS)
     known = seen >= least_texts
-    known[IDENTITY] = True
-    named = set(IDENTITY.tolist())
+    known[[b for own in IDENTITY for b in own]] = True
     rows = []
     for y, n, at, count in sample.rows():
         own = known[at]
-        rows.append((y, at[own], scale(n) * count[own], scale(n), sorted(named.intersection(at.tolist()))))
+        rows.append((y, at[own], scale(n) * count[own], scale(n), [(b, c) for b, c in zip(at.tolist(), count.tolist(), strict=True) if b in BY_BUCKET]))
     for _ in range(epochs):
         for y, at, x, value, held in rows:
             model.learn(at, x, float(y > 0), positive_weight if y > 0 else 1.0)
             if penalty:
-                away, put = swap(held, rng)
-                if away or put:
-                    changed = np.array(away + put)
-                    change = value * np.array([1.0] * len(away) + [-1.0] * len(put))
+                changed, change = swap(held, rng)
+                if len(changed):
+                    change *= value
                     w = model.weights(changed)
                     model.step(changed, 2 * penalty * float(w @ change) * change, w)
     return model.dense().astype(np.float32)

@@ -58,6 +58,42 @@ def test_counterfactuals_take_the_weight_from_identity_terms():
     assert gaps[0] > 1 and abs(gaps[1]) < 0.25 * gaps[0] and abusive[1] > 1
 
 
+@pytest.mark.parametrize("times", [1, 3])
+@pytest.mark.parametrize("term", ["muslim", "transgender"])
+def test_counterfactuals_take_the_weight_from_stems_too(term, times):
+    """As above, with terms that have prefixes and stand several times in a text."""
+    rng, words = np.random.default_rng(0), [f"word{k}" for k in range(60)]
+    sample = []
+    for k in range(600):
+        y = int(k % 3 == 0)
+        own = list(rng.choice(words, 12))
+        if rng.random() < (0.7 if y else 0.05):
+            own += [term] * times
+        if y and rng.random() < 0.8:
+            own.append("scumbag")
+        sample.append((y, toxicity.features(" ".join(own).encode())))
+    gaps = []
+    for penalty in (0.0, 1.0):
+        scorer = toxicity.Scorer(toxicity.fit_rows(Sample.of(sample), penalty))
+        gaps.append(scorer.logit(f"my {term} friend wrote word1 word2 and word3 today".encode()) - scorer.logit(b"my good friend wrote word1 word2 and word3 today"))
+        abusive = scorer.logit(b"word1 word4 scumbag word9") - scorer.logit(b"word1 word4 river word9")
+    assert gaps[0] > 1 and abs(gaps[1]) < 0.25 * gaps[0] and abusive > 1
+
+
+def test_swap_takes_all_features_of_a_term_as_often_as_it_stands():
+    size, at = toxicity.features(b"a muslim and a muslim")
+    held = [(b, int((at == b).sum())) for b in np.unique(at).tolist() if b in toxicity.BY_BUCKET]
+    for seed in range(5):
+        drawn = toxicity.IDENTITY[np.random.default_rng(seed).integers(len(toxicity.IDENTITY), size=1)[0]]
+        want = dict.fromkeys([*toxicity.buckets(b"muslim"), *drawn], 0)
+        for b in toxicity.buckets(b"muslim"):
+            want[b] += 2
+        for b in drawn:
+            want[b] -= 2
+        changed, change = toxicity.swap(held, np.random.default_rng(seed))
+        assert dict(zip(changed.tolist(), change.tolist(), strict=True)) == {b: n for b, n in want.items() if n}
+
+
 def test_scoring_equals_brute_force():
     rng = np.random.default_rng(3)
     w = rng.normal(size=quality_model.BUCKETS + 1).astype(np.float32)
