@@ -1,8 +1,9 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A rule is a regular expression with a label, a priority and a confidence.  A
-text first passes a substring test for its keywords; only rules whose keyword
-stands in the text run.  Detections are then resolved in order of priority (and
+text first passes a substring test for its keywords, with runs of white space as
+one blank; only rules whose keywords stand in the text run, and these stand in
+all that the rule can match.  Detections are then resolved in order of priority (and
 length): one that lies within an accepted detection is suppressed.
 
 Defined results: a null or empty text has no words and no detections; several
@@ -31,9 +32,10 @@ BASE_PHRASES = {
 #: Bytes that are no part of a word become spaces; upper-case ASCII becomes lower case.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-# Public license families as (label, keyword, name pattern, versions).
+# Public license families as (label, keyword, name pattern, versions); the keyword stands in all that the pattern matches.
 FAMILIES = [
-    ("mit", "mit", r"mit(?:/x11)?|expat", ()),
+    ("mit", "mit", r"mit(?:/x11)?", ()),
+    ("mit", "expat", r"expat", ()),
     ("apache", "apache", r"apache(?: software)?", ("1.0", "1.1", "2.0")),
     ("gpl", "general public", r"(?:gnu )?general public", ("1", "2", "2.0", "3", "3.0")),
     ("gpl", "gpl", r"(?:gnu )?gpl", ("1", "2", "2.0", "3", "3.0")),
@@ -54,8 +56,10 @@ FAMILIES = [
     ("boost", "boost", r"boost software", ("1.0",)),
     ("zlib", "zlib", r"zlib(?:/libpng)?", ()),
     ("unlicense", "unlicense", r"the unlicense|unlicense", ()),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public", ("2",)),
-    ("python", "python", r"python software foundation|psf", ("2",)),
+    ("wtfpl", "wtfpl", r"wtfpl", ("2",)),
+    ("wtfpl", "do what the fuck", r"do what the fuck you want to public", ("2",)),
+    ("python", "python software", r"python software foundation", ("2",)),
+    ("python", "psf", r"psf", ("2",)),
     ("postgresql", "postgresql", r"postgresql", ()),
     ("openssl", "openssl", r"openssl", ()),
     ("php", "php", r"php", ("3.0", "3.01")),
@@ -66,15 +70,18 @@ FAMILIES = [
     ("afl", "academic free", r"academic free", ("1.1", "1.2", "2.0", "2.1", "3.0")),
     ("cpl", "common public", r"common public", ("1.0",)),
     ("ms-pl", "microsoft", r"microsoft (?:public|reciprocal)", ()),
-    ("odbl", "open database", r"open database|odbl", ("1.0",)),
+    ("odbl", "open database", r"open database", ("1.0",)),
+    ("odbl", "odbl", r"odbl", ("1.0",)),
     ("odc-by", "open data commons", r"open data commons attribution", ("1.0",)),
-    ("cc0", "cc0", r"cc0|creative commons zero", ("1.0",)),
+    ("cc0", "cc0", r"cc0", ("1.0",)),
+    ("cc0", "creative commons zero", r"creative commons zero", ("1.0",)),
     ("cc-by-nc-nd", "nc-nd", r"(?:creative commons |cc[\- ])by-nc-nd", ("2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nc-sa", "nc-sa", r"(?:creative commons |cc[\- ])by-nc-sa", ("2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nc", "by-nc", r"(?:creative commons |cc[\- ])by-nc", ("2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nd", "by-nd", r"(?:creative commons |cc[\- ])by-nd", ("2.0", "2.5", "3.0", "4.0")),
     ("cc-by-sa", "by-sa", r"(?:creative commons |cc[\- ])by-sa", ("2.0", "2.5", "3.0", "4.0")),
-    ("cc-by", "cc", r"(?:creative commons |cc[\- ])(?:by|attribution)", ("2.0", "2.5", "3.0", "4.0")),
+    ("cc-by", "cc", r"cc[\- ](?:by|attribution)", ("2.0", "2.5", "3.0", "4.0")),
+    ("cc-by", "creative commons", r"creative commons (?:by|attribution)", ("2.0", "2.5", "3.0", "4.0")),
 ]
 
 # Sentences that only one license text holds.
@@ -91,14 +98,11 @@ SENTENCES = [
     ("proprietary", "confidential", r"proprietary and confidential"),
 ]
 
-#: One of these stands in every text that any rule can match.
-ANCHORS = (b"licen", b"spdx", b"public domain", b"permission", b"redistribution", b"all rights reserved", b"confidential", b"as-is", b"gnu ", b"terms of")
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
     keyword: bytes
+    also: bytes
     pattern: re.Pattern[bytes]
     priority: int
     confidence: float
@@ -109,17 +113,17 @@ def rules() -> tuple[Rule, ...]:
     """The rules in order: each family in each form, with each of its versions and without."""
     out = []
 
-    def add(label: str, keyword: str, pattern: str, priority: int, confidence: float) -> None:
-        out.append(Rule(label, keyword.encode(), re.compile(rb"(?<![a-z0-9])(?:" + pattern.encode() + rb")(?![a-z0-9])"), priority, confidence))
+    def add(label: str, keyword: str, pattern: str, priority: int, confidence: float, also: str = "") -> None:
+        out.append(Rule(label, keyword.encode(), also.encode(), re.compile(rb"(?<![a-z0-9])(?:" + pattern.encode() + rb")(?![a-z0-9])"), priority, confidence))
 
     for label, keyword, sentence in SENTENCES:
         add(label, keyword, re.sub(" ", r"\\s+", sentence), 0, 0.95 if label != "proprietary" else 0.5)
     for label, keyword, name in [f[:3] for f in FAMILIES]:
         spdx = name.replace(" ", "[ -]?").replace("[\\-[ -]?]", "[\\- ]")
         add(label, "spdx-license-identifier", rf"spdx-license-identifier:\s*(?:{spdx})[a-z0-9.+-]*", 1, 1.0)
-        add(label, keyword, rf"(?:licen[sc]ed|released|distributed|available|published)\s+under\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?(?:{name})(?:\s+licen[sc]e)?", 3, 0.9)
-        add(label, keyword, rf"(?:{name})\s+licen[sc]e", 4, 0.8)
-        add(label, keyword, rf"licen[sc]e\s*[:=]\s*['\"]?(?:{name})", 3, 0.85)
+        add(label, keyword, rf"(?:licen[sc]ed|released|distributed|available|published)\s+under\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?(?:{name})(?:\s+licen[sc]e)?", 3, 0.9, " under ")
+        add(label, keyword, rf"(?:{name})\s+licen[sc]e", 4, 0.8, " licen")
+        add(label, keyword, rf"licen[sc]e\s*[:=]\s*['\"]?(?:{name})", 3, 0.85, "licen")
     for label, keyword, name, versions in FAMILIES:
         for v in versions:
             add(label, keyword, rf"(?:{name})(?:\s+licen[sc]e)?,?\s*(?:v|version\s+|-)?\s*{re.escape(v)}", 2, 0.95)
@@ -127,21 +131,20 @@ def rules() -> tuple[Rule, ...]:
 
 
 @cache
-def by_keyword() -> dict[bytes, list[Rule]]:
-    table: dict[bytes, list[Rule]] = {}
+def by_keyword() -> dict[bytes, dict[bytes, list[Rule]]]:
+    table: dict[bytes, dict[bytes, list[Rule]]] = {}
     for r in rules():
-        table.setdefault(r.keyword, []).append(r)
+        table.setdefault(r.keyword, {}).setdefault(r.also, []).append(r)
     return table
 
 
 def detections(lowered: bytes) -> list[tuple[int, int, str, float]]:
     """Accepted ``(start, end, label, confidence)`` in a lower-case text, by start."""
-    if not any(a in lowered for a in ANCHORS):
-        return []
+    blank = b" ".join(lowered.split())
     found = []
-    for keyword, own in by_keyword().items():
-        if keyword in lowered:
-            for r in own:
+    for keyword, forms in by_keyword().items():
+        if keyword in blank:
+            for r in (r for also, own in forms.items() if also in blank for r in own):
                 found += [(r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.confidence) for m in r.pattern.finditer(lowered)]
     taken: list[tuple[int, int, str, float]] = []
     for _, _, a, b, label, confidence in sorted(found):

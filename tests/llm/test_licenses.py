@@ -61,3 +61,28 @@ def test_suppression_equals_brute_force():
 def test_odd_rows(odd_documents, no_documents):
     assert licenses.scan(odd_documents).count() == odd_documents.count()
     assert licenses.scan(no_documents).collect() == []
+
+
+def ungated(text):
+    found = sorted((r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.confidence) for r in licenses.rules() for m in r.pattern.finditer(text))
+    taken = []
+    for _, _, a, b, label, c in found:
+        if not any(x <= a and b <= y for x, y, *_ in taken):
+            taken.append((a, b, label, c))
+    return sorted(taken)
+
+
+def test_gates_drop_nothing(spark, folder):
+    for text, want in [
+        ("apache-2.0", "apache"), ("GPL-3.0", "gpl"), ("LGPL v2.1", "lgpl"), ("MPL 2.0", "mpl"), ("CC BY-SA 4.0", "cc-by-sa"),
+        ("released under the GPL", "gpl"), ("distributed  under\nthe BSD", "bsd"), ("Creative Commons Attribution 4.0 License", "cc-by"),
+        ("Creative Commons Zero license", "cc0"), ("Creative Commons Zero 1.0", "cc0"), ("Expat license", "mit"), ("PSF license", "python"),
+        ("ODbL 1.0", "odbl"), ("license: odbl", "odbl"), ("do what the fuck you want to public license", "wtfpl"),
+        ("Permission  is\nhereby granted, free of charge, to any person\n obtaining a copy", "mit"), ("all\nrights reserved", "proprietary"), ("MIT\n\tLicence", "mit"),
+    ]:
+        assert want in {x for _, x in labels(text)}, text
+    names = [n.replace("(?:", "").replace(")?", "") for f in licenses.FAMILIES for n in [f[2]] if "[" not in n and "|" not in n]
+    forms = ["SPDX-License-Identifier: {}", "licensed under {}", "published\nunder  the terms\tof the {} licence", "{}\n licence", "license :\n'{}'", "{} license, version\n 2.0", "{}-1.0", "{} 3"]
+    texts = [form.format(n).lower().encode() for n in names for form in forms]
+    texts += [r.text.lower().encode() for r in spark.read.parquet(f"{folder}/documents.parquet").limit(150).collect()]
+    assert [licenses.detections(t) for t in texts] == [ungated(t) for t in texts]
