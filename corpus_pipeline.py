@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), rowwise=True).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Ids that may go to every executor (some 16 bytes each); a longer list meets the rows through a shuffle.
+#: Ids that may go to every executor (some 16 bytes each, keys of rows some 40); a longer list meets the rows through a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -54,6 +54,12 @@ def without_ids(df: DataFrame, ids: DataFrame, id_col: str, limit: int | None =
     return df.join(ids, df[f"`{id_col}`"].eqNullSafe(ids["__gone"]), "left_anti")
 
 
+def by_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key``, ``text`` and ``row`` of every row; only rows with the same id and text share a key, and keys order by id, null last."""
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return df.select(F.struct(own.isNull().alias("last"), own.alias("id"), F.xxhash64(text).alias("hash")).alias("key"), text.alias("text"), F.struct("*").alias("row"))
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``__id`` and ``__text``, so other columns of ``df`` can have any name."""
     return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, map_slices, without_ids
+from .common import by_row, keyed_text, map_slices, without_ids
 
 Q = 10
 #: Edits allowed, as a share of an item's characters.
@@ -212,6 +212,9 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: Any) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rowwise: bool = False, **how: Any) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item: all rows of their ids, or with ``rowwise`` only the rows whose text holds one."""
+    if rowwise:
+        rows = by_row(docs, id_col, text_col)
+        return without_ids(rows, leaks(rows, benchmark, "key", "text", **how).select("__id").distinct(), "key").select("row.*")
     return without_ids(docs, leaks(docs, benchmark, id_col, text_col, **how).select("__id").distinct(), id_col)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, as_bytes, cut, keyed_text, map_slices, without_ids
+from .common import ASCII_LOWER, as_bytes, by_row, cut, keyed_text, map_slices, without_ids
 
 #: Distinct fingerprints looked at to group bits and to estimate candidates; it steers the plan only, never the result.
 PLAN_SAMPLE = 4000
@@ -258,10 +258,14 @@ def hex_digits(fp: Column) -> Column:
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
-    """Rows of ``df`` less all but one document of each group: the one with the smallest id (of repeated rows, one)."""
-    groups = cut(near_duplicates(df, id_col, text_col, shingle_words, radius))
-    by_id = groups.groupBy("__id").agg(F.max(F.col("__id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
-    kept = without_ids(df, by_id.filter(~F.col("stays")).select("__id"), id_col)
-    if by_id.filter("stays AND n > 1").isEmpty():
-        return kept
-    return kept.select(F.col(f"`{id_col}`").alias("id"), F.struct("*").alias("row")).dropDuplicates(["id"]).select("row.*")
+    """Rows of ``df`` less all but one document of each group: the one with the smallest id (of repeated rows, one).
+
+    Rows count by id and text, so different texts that share an id, null included, stand for themselves.
+    """
+    rows = by_row(df, id_col, text_col)
+    groups = cut(near_duplicates(rows, "key", "text", shingle_words, radius))
+    by_key = groups.groupBy("__id").agg(F.max(F.col("__id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    kept = without_ids(rows, by_key.filter(~F.col("stays")).select("__id"), "key")
+    if not by_key.filter("stays AND n > 1").isEmpty():
+        kept = kept.dropDuplicates(["key"])
+    return kept.select("row.*")

@@ -117,3 +117,13 @@ def test_long_lists_of_ids_go_through_a_shuffle(spark, odd_documents):
     want = [1, 2, 3, 5, 6, 7, 8, 9]
     assert sorted(r.doc_id for r in without_ids(odd_documents, gone, "doc_id").collect()) == want
     assert sorted(r.doc_id for r in without_ids(odd_documents, gone, "doc_id", limit=0).collect()) == want
+
+
+def test_only_rows_that_hold_an_item_go(spark, prose):
+    bench = spark.createDataFrame([(1, prose(1, 60))], "item_id bigint, text string")
+    held = f"{prose(2, 30)} {prose(1, 60)}"
+    rows = [(None, held), (None, prose(3, 60)), (None, None), (4, held), (4, held), (4, prose(5, 60)), (9, prose(6, 60))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, key string")
+    kept = d.clean(docs, bench, rowwise=True)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], rows[2], rows[5], rows[6]], key=str)
+    assert kept.columns == docs.columns

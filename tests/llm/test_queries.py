@@ -70,3 +70,11 @@ def test_nothing_else_imports_the_package():
         if path.parent.name != "llm":
             assert "llm" not in path.read_text(), path
     assert simhash and secret_scan and sentencepieces
+
+
+def test_stages_keep_clean_rows_without_own_ids(spark, prose, folder):
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").filter("length(text) > 100").first().text
+    rows = [(None, prose(1, 60)), (None, prose(2, 60)), (None, f"{prose(3, 20)} {item}"), (4, prose(4, 60)), (4, prose(5, 60)), (4, f"{prose(6, 20)} {item}")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.benchmark(spark, corpus_pipeline.near_duplicates(spark, docs, folder), folder)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([rows[k] for k in (0, 1, 3, 4)], key=str)

@@ -127,3 +127,10 @@ def test_odd_rows(odd_documents, no_documents, spark):
     assert simhash.near_duplicates(no_documents).collect() == [] and simhash.representatives(no_documents).collect() == []
     only_null = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e")], "doc_id bigint, text string")
     assert len(simhash.representatives(only_null).collect()) == 1
+
+
+def test_different_texts_that_share_an_id_stay(spark, prose):
+    rows = [(None, prose(1, 60)), (None, prose(2, 60)), (None, prose(3, 60)), (None, prose(3, 60)), (5, prose(4, 60)), (5, prose(5, 60)), (6, prose(5, 60)), (7, prose(1, 60)), (8, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.representatives(df).collect()), key=str)
+    assert kept == sorted([rows[1], rows[2], rows[4], rows[5], rows[7], rows[8]], key=str)
