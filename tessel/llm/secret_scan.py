@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives; DataFrame functions only.
 
-Runs of key-like characters and quoted values of assignments are candidates.  A
+Quoted values of assignments, unquoted ones of at least 6 characters after a key
+word, and runs of key-like characters are candidates, the first that fits.  A
 forest on their length, character transitions, dictionary coverage, path and
 neighbouring words, trained from labelled findings, tells secrets from look-alikes.
 
@@ -21,9 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MARK = "\x01"
-#: Key-like runs of 12 characters or more with a digit among the first 40, and quoted values of assignments.
-CANDIDATE = r"""(?<![A-Za-z0-9])(?=[A-Za-z+/_-]{0,40}+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}|(?<=[=:] ?["'])[^\s"']{8,200}(?=["'])"""
+#: Quoted values of assignments, and key-like runs of 12 characters or more with a digit among the first 40.
+CANDIDATE = r"""(?:(?<=[=:]")|(?<=[=:] "))[^\s"]{8,}+(?=")|(?:(?<=[=:]')|(?<=[=:] '))[^\s']{8,}+(?=')|(?<![A-Za-z0-9])(?=[A-Za-z+/_-]{0,40}+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"""
+#: Values without quotes that are assigned to a key word, without the punctuation after them; Java only.
+ASSIGNED = r"""(?<=[=:>\s])(?<=[=:]>?[ \t]{0,3})(?<=(?i:secret|token|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)[\w-]{0,20}["']?[ \t]{0,3}[=:]{1,2}>?[ \t]{0,3})[^\s"'=:>][^\s"']{4,}[^\s"'.,;)]"""
+ANY = f"{ASSIGNED}|{CANDIDATE}"
 NEIGHBOURS = 60
+#: Parts of a text, gaps and candidates in turn, that hold so many characters: a candidate has 6 at least.
+PARTS = 2 * NEIGHBOURS // 6
 THRESHOLD = 0.5
 #: Labelled findings that a fit looks at.
 TRAIN_ROWS = 4000
@@ -160,16 +166,25 @@ def score(forest: list[Tree], candidate: str, path: str, before: str, after: str
 
 def taking_turns(text: Column) -> Column:
     """Text and candidates in turn, from text to text."""
-    return F.split(F.regexp_replace(text, f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK)
+    return F.split(F.regexp_replace(text, f"({ANY})", f"{MARK}$1{MARK}"), MARK)
+
+
+def with_edges(parts: DataFrame) -> DataFrame:
+    """``parts`` with the first and last characters of each part."""
+    return parts.select("*", F.expr(f"transform(p, x -> left(x, {NEIGHBOURS}))").alias("firsts"), F.expr(f"transform(p, x -> right(x, {NEIGHBOURS}))").alias("lasts"))
+
+
+#: What stands in the text before and after the part ``k``, other candidates included.
+BEFORE = f"right(array_join(slice(lasts, greatest(k - {PARTS}, 0) + 1, least(k, {PARTS})), ''), {NEIGHBOURS})"
+AFTER = f"left(array_join(slice(firsts, k + 2, {PARTS}), ''), {NEIGHBOURS})"
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """``__id``, ``__row``, ``start``, ``end``, ``candidate``, ``path``, ``before``, ``after`` of every candidate."""
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = df.select(F.col(f"`{id_col}`").alias("__id"), path.alias("path"), F.translate(F.col(f"`{text_col}`"), MARK, " ").alias("t")).filter(F.col("t").rlike(CANDIDATE))
-    parts = rows.select("__id", "path", F.monotonically_increasing_id().alias("__row"), taking_turns(F.col("t")).alias("p"))
-    gap, before, after = "length(get(p, k - 1))", f"right(get(p, k - 1), {NEIGHBOURS})", f"left(get(p, k + 1), {NEIGHBOURS})"
-    found = F.expr(f"transform(sequence(1, size(p) - 1, 2), k -> named_struct('k', k, 'gap', {gap}, 'candidate', get(p, k), 'before', {before}, 'after', {after}))")
+    rows = df.select(F.col(f"`{id_col}`").alias("__id"), path.alias("path"), F.translate(F.col(f"`{text_col}`"), MARK, " ").alias("t")).filter(F.col("t").rlike(ANY))
+    parts = with_edges(rows.select("__id", "path", F.monotonically_increasing_id().alias("__row"), taking_turns(F.col("t")).alias("p")))
+    found = F.expr(f"transform(sequence(1, size(p) - 1, 2), k -> named_struct('k', k, 'gap', length(get(p, k - 1)), 'candidate', get(p, k), 'before', {BEFORE}, 'after', {AFTER}))")
     each = parts.select("__id", "__row", "path", F.explode(found).alias("s")).select("__id", "__row", "path", "s.*")
     # a candidate knows the gap before it, so its place is a sum over its text's candidates
     upto = F.sum(F.col("gap") + F.length("candidate")).over(Window.partitionBy("__row").orderBy("k"))
@@ -191,8 +206,10 @@ def redact(df: DataFrame, forest: list[Tree] | None = None, text_col: str = "tex
     """``df`` with each secret replaced by ``mask``: row by row, without a shuffle.  In a text with candidates, U+0001 becomes a blank."""
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
     text = F.translate(F.col(f"`{text_col}`"), MARK, " ")
-    rows = df.select(F.struct("*").alias("row"), path.alias("path"), F.lit(mask).alias("mask"), F.when(text.rlike(CANDIDATE), taking_turns(text)).alias("p"))
-    likely = score(forest or own_forest(df.sparkSession), "x", "path", f"right(get(p, k - 1), {NEIGHBOURS})", f"left(get(p, k + 1), {NEIGHBOURS})")
+    rows = df.select(F.struct("*").alias("row"), path.alias("path"), F.lit(mask).alias("mask"), F.when(text.rlike(ANY), taking_turns(text)).alias("p"))
+    rows = with_edges(rows)
+    judged = score(forest or own_forest(df.sparkSession), "x", "path", "n.before", "n.after")
+    likely = f"element_at(transform(array(named_struct('before', {BEFORE}, 'after', {AFTER})), n -> {judged}), 1)"
     masked = F.expr(f"array_join(transform(p, (x, k) -> IF(k % 2 = 1 AND {likely} >= {threshold}, mask, x)), '')")
     new = F.when(F.col("p").isNull(), F.col(f"row.`{text_col}`")).otherwise(masked)
     return rows.select(F.col("row").withField(f"`{text_col}`", new).alias("row")).select("row.*")

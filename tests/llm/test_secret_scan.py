@@ -66,3 +66,33 @@ def test_odd_rows(odd_documents, no_documents, forest):
     secret_scan.scan(odd_documents, forest).collect()
     assert secret_scan.redact(odd_documents, forest).count() == odd_documents.count()
     assert secret_scan.scan(no_documents, forest).collect() == []
+
+
+def test_candidates_are_whole_and_know_their_text(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    long = "aB$9" * 60
+    texts = {
+        'x password = "correct4horse!battery$staple" y': ["correct4horse!battery$staple"],
+        f"auth: '{jwt}'": [jwt],
+        f'secret = "{long}"': [long],
+        "password=hunter2, then": ["hunter2"],
+        "the DB_PASSWORD: swordfish.": ["swordfish"],
+        "api_key => only+letters/HereInThisOne end": ["only+letters/HereInThisOne"],
+        "secret = \"it's4secret'withquote\"": ["it's4secret'withquote"],
+        "no key word: something": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = secret_scan.candidates(df, path_col=None).collect()
+    for k, (text, want) in enumerate(texts.items()):
+        own = sorted((r for r in rows if r["__id"] == k), key=lambda r: r.start)
+        assert [r.candidate for r in own] == want and all(text[r.start : r.end] == r.candidate for r in own), text
+    close = " ".join(f"a1b2c3d4e5f6g{k}" for k in range(12)) + " token=abcdef,b1b2c3d4e5f6g7 end"
+    for r in secret_scan.candidates(spark.createDataFrame([(1, close)], "doc_id bigint, text string"), path_col=None).collect():
+        assert r.before == close[max(0, r.start - 60) : r.start] and r.after == close[r.end : r.end + 60]
+
+
+def test_redaction_leaves_no_tail(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'token = "{secret}!{secret[:12]}$x"', f'token = "{secret}.{secret[::-1]}.{secret}"']
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.text for r in secret_scan.redact(df, path_col=None).collect()} == {'token = "[SECRET]"'}
