@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the cluster names; a folder of our own only where none is named and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -39,6 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared checkpoint folder: compressed, and later steps read only the columns they use.
+
+    Any column names will do, as the file numbers them.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/tessel-{uuid.uuid4().hex}"
+    df.toDF(*[f"c{k}" for k in range(len(df.columns))]).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder).toDF(*df.columns)
+
+
 #: Ids that may go to every executor (some 16 bytes each, keys of rows some 40); a longer list meets the rows through a shuffle.
 BROADCAST_IDS = 1_000_000
 
