@@ -103,6 +103,58 @@ def test_query_finds_every_verbatim_item(spark, folder):
         assert infix_distance(norm(items[r.item_id]), norm(docs[r.doc_id][r.start : r.end])) <= r.edits <= d.EDIT_SHARE * n
 
 
+def apart(item, text):
+    """The least number of edits with which the item stands anywhere, from the whole matrix."""
+    return infix_distance("".join(map(chr, d.characters(item))), "".join(map(chr, d.characters(text))))
+
+
+def test_monotonous_items_equal_brute_force():
+    rng = random.Random(4)
+    items = [(0, "-" * 60), (1, "=-" * 40), (2, "." * 25 + " the contents of this page " + "." * 30), (3, "ab" * 9 + "c" + "ab" * 20), (4, "x" * 12)]
+    index = d.Index.of(items, d.Q, d.EDIT_SHARE)
+    assert len(index.monotonous) >= 3
+    texts = [edited(rng, items[k % 5][1], k % 4) for k in range(30)]
+    texts += ["-" * 300, "-" * 55, "-" * 58 + "\n" + "-" * 57, "=-" * 90, "." * 400 + " the contents of this page " + "." * 400, "ab" * 300, "the " + "-" * 20 + " " + "-" * 39 + " end", "x" * 11, "xx y " * 30]
+    got = {(t, i) for t, i, *_ in d.occurrences(texts, index)}
+    at = {x: k for k, x in enumerate(index.ids)}
+    want = {(t, at[i]) for t, text in enumerate(texts) for i, item in items if apart(item, text) <= index.budget[at[i]]}
+    assert got == want
+    for t, i, start, end, edits in d.occurrences(texts, index):
+        assert apart(items[index.ids[i]][1], texts[t][start:end]) <= edits <= index.budget[i]
+
+
+def test_monotonous_text_in_bounded_time_and_memory():
+    import resource
+    import time
+
+    index = d.Index.of([(k, f"{'-' * 60} {k} question number {k}" if k % 2 else "-" * (60 + k)) for k in range(10)], d.Q, d.EDIT_SHARE)
+    d.occurrences(["-" * 1000], index)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    got = d.occurrences(["-" * 10_000_000], index)
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert {i for _, i, *_ in got} == {i for i, k in enumerate(index.ids) if k % 2 == 0} and grown < 1000, grown
+    assert time.time() - began < 60
+
+
+def test_small_portions_give_the_same(prose, monkeypatch):
+    rng = random.Random(2)
+    items = [(k, prose(100 + k, 12)) for k in range(5)] + [(9, "-" * 40)]
+    texts = [" ".join(prose(10 * t + k, 25) + " " + edited(rng, items[(t + k) % 6][1], k % 3) for k in range(12)) for t in range(6)]
+    index = d.Index.of(items, d.Q, d.EDIT_SHARE)
+    want = d.occurrences(texts, index)
+    monkeypatch.setattr(d, "WINDOW", 300)
+    monkeypatch.setattr(d, "PAIRS", 50)
+    assert d.occurrences(texts, index) == want and len(want) > 40
+
+
+def test_white_space_and_short_items(spark):
+    text = "Intro\n\n  What   is the\tcapital\n    of France today?  It is:\n Paris, she said.  Parisian"
+    bench = spark.createDataFrame([(1, "what is the capital of France\n today?"), (2, " PARIS "), (2, "paris"), (3, "cap"), (4, " \n ")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, text)], "doc_id bigint, text string")
+    got = sorted((r.item, r.edits, text[r.start : r.end]) for r in d.leaks(docs, bench).collect())
+    assert got == [(1, 0, "What   is the\tcapital\n    of France today?"), (2, 0, "Paris"), (2, 0, "Paris")]
+
+
 def test_odd_rows(spark, odd_documents, no_documents, prose):
     bench = spark.createDataFrame([(1, prose(1, 60)), (1, prose(1, 60)), (2, None), (3, ""), (4, "short"), (None, prose(3, 40))], "item_id bigint, text string")
     got = sorted({(r["__id"], r["item"]) for r in d.leaks(odd_documents, bench).collect()}, key=str)
