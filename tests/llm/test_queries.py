@@ -29,17 +29,16 @@ def test_pipeline_equals_brute_force(spark, folder):
     import numpy as np
     import sentencepiece as spm
 
-    from .test_simhash import brute_fingerprint, brute_roots
+    from .test_simhash import brute_similar
 
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     weights = quality_model.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     rows = {r.doc_id: r.text for r in docs.collect()}
     scores = quality_model.probabilities([t.encode() for t in rows.values()], weights)
     rows = {i: t for (i, t), s in zip(rows.items(), scores, strict=True) if s >= corpus_pipeline.LEAST_QUALITY}
-    fps = {i: brute_fingerprint(t) for i, t in rows.items()}
-    group, least = brute_roots(list(fps.values())), {}
-    for i, f in fps.items():
-        least[group[f]] = min(i, least.get(group[f], i))
+    group, least = dict(zip(rows, brute_similar(rows.values()), strict=True)), {}
+    for i, g in group.items():
+        least[g] = min(i, least.get(g, i))
     rows = {i: rows[i] for i in sorted(least.values())}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     index = decontaminate.Index.of(items, decontaminate.Q, decontaminate.EDIT_SHARE)

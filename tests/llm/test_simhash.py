@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -111,6 +112,89 @@ def test_correlated_bits_share_a_group():
     assert sum((b + 32) % 64 in g for g in groups for b in g) >= 60
 
 
+def brute_sketch(text, k=5):
+    """Node, fingerprint of words and sketch as one number, bit by bit."""
+    words = [lower(w).encode() for w in WORD.findall(text or "")]
+    if not words:
+        return 0, 0, 0
+    most = lambda hashes: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    shingles = {xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))}
+    weighed = [xxhash.xxh64_intdigest(w, j) for w in set(words) for j in range(1 + int(math.log2(words.count(w))))]
+
+    def plane(h, j):
+        m, full = 0xD6E8FEB86659FD93, (1 << 64) - 1
+        h = ((h ^ h >> 32) * m + j) & full
+        h = (h ^ h >> 32) * m & full
+        return h ^ h >> 32
+
+    return most(shingles), most(weighed), sum(most([plane(h, j) for h in shingles]) << 64 * j for j in range(8))
+
+
+def brute_similar(texts):
+    """Groups of places in ``texts``, by all pairs."""
+    made = [brute_sketch(t) for t in texts]
+    nodes = {}
+    for m in made:  # texts with one node stand for each other
+        nodes[m[0]] = min(nodes.get(m[0], m), m, key=lambda x: (simhash.signed(x[1]), [simhash.signed(x[2] >> 64 * j & (1 << 64) - 1) for j in range(8)]))
+    names = list(nodes)
+    fps, sks = np.array([nodes[x][1] for x in names], np.uint64), [nodes[x][2] for x in names]
+    parent = {x: x for x in names}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i in range(len(names)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 6).tolist():
+            if (sks[i] ^ sks[j]).bit_count() <= 85:
+                parent[root(names[i])] = root(names[j])
+    return [root(m[0]) for m in made]
+
+
+def lower(word):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_similar_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "LIGHT_BUCKET", 32 if block > 3 else 1)
+    monkeypatch.setattr(simhash, "LIGHT_TIMES", 4 if block > 3 else 0)
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rng = random.Random(8)
+    for k, i in enumerate(list(docs)[:60]):  # copies with a few other words
+        words = docs[i].split(" ")
+        for _ in range(rng.randint(0, 1 + len(words) // 30)):
+            words[rng.randrange(len(words))] = rng.choice(words) + "x"
+        docs[10**6 + k] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    group, least = dict(zip(docs, brute_similar(docs.values()), strict=True)), {}
+    for i, g in group.items():
+        least[g] = min(i, least.get(g, i))
+    got = {r["__id"]: r.component_id for r in simhash.similar(df).collect()}
+    assert got == {i: least[g] for i, g in group.items()} and len(set(got.values())) < len(got) - 30
+
+
+def test_similar_texts_are_found_and_others_are_not(spark, prose):
+    """Pairs with a known share of equal shingles, each pair of other words."""
+    rng, rows, true = random.Random(6), [], {}
+    for k in range(300):
+        words = [f"{w}{rng.randrange(9)}" for w in prose(k, rng.choice([60, 150, 400])).split()]
+        other = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 12))):
+            other[rng.randrange(len(other))] = "new" + str(rng.randrange(1000))
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        true[2 * k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r["__id"]: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i] == i and got[i + 1] in (i, i + 1) for i in true)  # no two pairs meet
+    alike = [got[i + 1] == i for i, j in true.items() if j >= 0.8]
+    apart = [got[i + 1] == i for i, j in true.items() if j < 0.65]
+    assert len(alike) > 50 and sum(alike) >= 0.9 * len(alike), (sum(alike), len(alike))
+    assert len(apart) > 50 and sum(apart) <= 0.02 * len(apart), (sum(apart), len(apart))
+
+
 def test_long_chain_of_components(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(1000, 1001)], "a bigint, b bigint"))
     got = {r.node: r.root for r in simhash.components(edges).collect()}
