@@ -2,12 +2,17 @@
 
 Each document is measured; each rule's failures are summed by host; a host's
 failure rates are shrunk towards all hosts' with a beta prior fitted to them by
-moments; a host whose shrunk rate of any rule passes its limit is rejected, and
-with it every document of it.
-
-Defined results: a null text counts as empty; a null host has no verdict, so
-its documents stand on their own; repeated rows count and appear once each; an
-empty table gives an empty result.  Only the three named columns are read.
+moments (hosts weighed by their documents, sampling noise taken off); a host whose
+shrunk rate of any rule lies ``DEVIATIONS`` of the prior's deviations above its
+mean (and over ``LEAST_RATE``), or over ``MOST_RATE``, is rejected, and with it every
+document of it.
+
+Defined results: a null text counts as empty and fails the base rule; a null host
+has no verdict, so its documents stand on their own; the host of an address is
+what stands after its scheme, of anything else the whole; case doesn't count; a
+rate equal to its limit passes; texts are taken whole; repeated rows count and
+appear once each; an empty table gives an empty result.  Only the three named
+columns are read.
 """
 
 from __future__ import annotations
@@ -24,6 +29,13 @@ SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 
 WINDOW = 8
+#: Deviations above the mean beyond which a host is rejected, and the shares of failing documents between which that limit lies.
+DEVIATIONS = 2.0
+LEAST_RATE, MOST_RATE = 0.25, 0.5
+#: Documents that the prior weighs as much as where hosts don't differ beyond chance.
+NO_SPREAD = 1e9
+#: What stands after the scheme of an address, up to port or path.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 #: Rejected hosts that may go to every executor (a name of some tens of bytes each); beyond that the join is dealt out with salts.
 BROADCAST_HOSTS = 100_000
 SALTS = 32
@@ -69,7 +81,7 @@ def measures(text: bytes) -> tuple[int, int, int, int, int]:
 def measured(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
     host = F.col(f"`{host_col}`").cast("string")
-    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.lower(F.coalesce(F.try_parse_url(host, F.lit("HOST")), host)).alias("__host"), F.col(f"`{text_col}`").alias("__text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.lower(F.coalesce(F.nullif(F.regexp_extract(host, HOST, 1), F.lit("")), host)).alias("__host"), F.col(f"`{text_col}`").alias("__text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -79,33 +91,37 @@ def measured(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return map_slices(rows, run, f"__id {kind}, __host string, " + ", ".join(f"{x} bigint" for x in names))
 
 
-def rules() -> dict[str, tuple[Column, float]]:
-    """Each rule's failure and the shrunk rate beyond which a host is rejected."""
+def rules() -> dict[str, Column]:
+    """Each rule's failure."""
     n = F.col("n_words")
     return {
-        "base": (F.col("base_failed"), 0.5),
-        "symbols": (5 * F.col("n_symbols") > F.col("word_chars"), 0.5),
-        "long_words": (F.col("word_chars") > 20 * n, 0.5),
-        "dup_lines": (2 * F.col("n_dup_lines") > n, 0.5),
+        "base": F.col("base_failed"),
+        "symbols": 5 * F.col("n_symbols") > F.col("word_chars"),
+        "long_words": F.col("word_chars") > 20 * n,
+        "dup_lines": 2 * F.col("n_dup_lines") > n,
     }
 
 
 def host_verdicts(docs: DataFrame) -> DataFrame:
-    """``host``, its documents and for each rule its shrunk rate, and whether it is rejected."""
-    names = list(rules())
-    by_host = docs.filter(F.col("__host").isNotNull()).groupBy("__host").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(rules()[k][0].cast("int")).alias(f"f_{k}") for k in names])
-    prior = by_host.agg(*[x for k in names for x in (F.avg(F.col(f"f_{k}") / F.col("n_docs")).alias(f"m_{k}"), F.var_pop(F.col(f"f_{k}") / F.col("n_docs")).alias(f"v_{k}"))])
-    both = by_host.join(F.broadcast(prior))  # one row
-    out = both
-    for k in names:
-        m, v = F.col(f"m_{k}"), F.col(f"v_{k}")
-        # a beta distribution has variance m(1-m)/(weight+1); without spread the prior weighs as much as ten documents
-        weight = F.when((v > 0) & (v < m * (1 - m)), m * (1 - m) / v - 1).otherwise(F.lit(10.0))
-        out = out.withColumn(f"rate_{k}", (F.col(f"f_{k}") + m * weight) / (F.col("n_docs") + weight))
-    bad = F.lit(False)
-    for k in names:
-        bad = bad | (F.col(f"rate_{k}") > rules()[k][1])
-    return out.select(F.col("__host").alias("__of"), "n_docs", *[f"rate_{k}" for k in names], bad.alias("host_rejected"))
+    """``host``, its documents and for each rule its shrunk rate and limit, and whether it is rejected."""
+    failures = rules()
+    by_host = docs.filter(F.col("__host").isNotNull()).groupBy("__host").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c.cast("int")).cast("double").alias(f"k_{r}") for r, c in failures.items()])
+    sums = [F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares")]
+    prior = by_host.agg(*sums, *[x for r in failures for x in (F.sum(f"k_{r}").alias(f"all_{r}"), F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"q_{r}"))])
+    out, bad = by_host.join(F.broadcast(prior)), F.lit(False)  # one row
+    for r in failures:
+        # moments of a beta-binomial with hosts weighed by their documents: what the rates differ beyond sampling noise
+        mean = F.col(f"all_{r}") / F.col("all")
+        mixed, free = mean * (1 - mean), F.col("hosts") - 1
+        beyond = F.col(f"q_{r}") - F.col(f"all_{r}") * mean - mixed * free
+        room = mixed * (F.col("all") - F.col("squares") / F.col("all") - free)
+        alike = F.when((beyond > 0) & (room > 0), F.least(beyond / room, F.lit(1.0))).otherwise(0.0)
+        weight = F.when(alike > 0, 1 / alike - 1).otherwise(NO_SPREAD)
+        out = out.withColumn(f"rate_{r}", (F.col(f"k_{r}") + mean * weight) / (F.col("n") + weight))
+        out = out.withColumn(f"limit_{r}", F.least(F.lit(MOST_RATE), F.greatest(F.lit(LEAST_RATE), mean + DEVIATIONS * F.sqrt(mixed * alike))))
+        bad = bad | (F.col(f"rate_{r}") > F.col(f"limit_{r}"))
+    shown = [f"{x}_{r}" for r in failures for x in ("rate", "limit")]
+    return out.select(F.col("__host").alias("__of"), F.col("n").cast("bigint").alias("n_docs"), *shown, bad.alias("host_rejected"))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

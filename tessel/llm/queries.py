@@ -82,7 +82,7 @@ def queries() -> dict[str, Query]:
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, lower(source) AS host, coalesce(text, '') AS t FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(nullif(regexp_extract(source, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), ''), source)) AS host, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
 ), win AS (
@@ -110,11 +110,16 @@ WITH d AS (
     SELECT host, unnest(['base', 'symbols', 'long_words', 'dup_lines']) AS rule,
       unnest([base_failed, 5 * n_symbols > word_chars, word_chars > 20 * n_words, 2 * n_dup_lines > n_words]) AS bad
     FROM b WHERE host IS NOT NULL) GROUP BY host, rule
+), g AS (
+  SELECT rule, count(*) - 1.0::DOUBLE AS free, sum(n)::DOUBLE AS n_all, sum(n * n)::DOUBLE AS squares, sum(k)::DOUBLE AS k_all,
+    sum(CAST(k AS DOUBLE) * k / n) AS q FROM f GROUP BY rule
 ), p AS (
-  SELECT rule, avg(k / n) AS mean, var_pop(k / n) AS var FROM f GROUP BY rule
+  SELECT rule, mean, mixed, CASE WHEN beyond > 0 AND room > 0 THEN least(beyond / room, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS alike FROM (
+    SELECT rule, k_all / n_all AS mean, mean * (1 - mean) AS mixed, q - k_all * mean - mixed * free AS beyond,
+      mixed * (n_all - squares / n_all - free) AS room FROM g)
 ), v AS (
-  SELECT host, bool_or((k + mean * s) / (n + s) > 0.5) AS rejected FROM (
-    SELECT f.*, mean, CASE WHEN var > 0 AND var < mean * (1 - mean) THEN mean * (1 - mean) / var - 1 ELSE 10.0 END AS s
+  SELECT host, bool_or((k + mean * s) / (n + s) > least(0.5::DOUBLE, greatest(0.25::DOUBLE, mean + 2 * sqrt(mixed * alike)))) AS rejected FROM (
+    SELECT f.*, mean, mixed, alike, CASE WHEN alike > 0 THEN 1 / alike - 1 ELSE 1e9::DOUBLE END AS s
     FROM f JOIN p ON f.rule = p.rule) GROUP BY host
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -47,13 +47,36 @@ def test_host_verdict(spark, prose):
     for _, t, h in rows:
         if h:
             docs.setdefault(h.split("/")[2].lower(), []).append(t == bad)
-    rates = [sum(v) / len(v) for v in docs.values()]
-    m = sum(rates) / len(rates)
-    v = sum((r - m) ** 2 for r in rates) / len(rates)
-    weight = m * (1 - m) / v - 1
+    n, k = [len(v) for v in docs.values()], [sum(v) for v in docs.values()]
+    m = sum(k) / sum(n)
+    beyond = sum(y * (x / y - m) ** 2 for x, y in zip(k, n, strict=True)) - m * (1 - m) * (len(n) - 1)
+    alike = beyond / (m * (1 - m) * (sum(n) - sum(y * y for y in n) / sum(n) - (len(n) - 1)))
+    weight = 1 / alike - 1
     verdicts = {r["__of"]: r for r in quality_rules.host_verdicts(quality_rules.measured(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source").selectExpr("*", "n_words < 20 AS base_failed")).collect()}
     for h, v in docs.items():
         assert abs(verdicts[h].rate_base - (sum(v) + m * weight) / (len(v) + weight)) < 1e-9
+        assert abs(verdicts[h].limit_base - min(0.5, max(0.25, m + 2 * (m * (1 - m) * alike) ** 0.5))) < 1e-9
+
+
+def test_query_rejects_a_host_as_its_sql_does(spark, prose, tmp_path):
+    import duckdb
+
+    rows = []
+    for h in range(9):
+        name = [f"https://User@Host{h}.example:80/p{{}}?q", f"SRC{h}", f"http://host{h}.example"][h % 3]
+        for k in range(30 + 10 * h):
+            failing = k % 3 < 2 if h == 4 else k % 12 == 0
+            rows.append((1000 * h + k, "too short" if failing else prose(h * 100 + k, 30), name.format(k)))
+    rows += [(1, "too short", "https://one.example/"), (2, prose(1, 30), None), (3, None, "src4"), (4, prose(2, 30), "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_quality_rules(spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = c.execute(queries.OP4_SQL)
+    names = [x[0] for x in cur.description]
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(cur.fetchall())
+    gone = {r.doc_id for r in got if not r.base_failed and not r.kept}
+    assert gone == {i for i, t, h in rows if h == "SRC4" and len((t or "").split()) >= 20} and len(gone) > 20
 
 
 def test_salted_verdicts_are_the_same(spark, prose, monkeypatch):
