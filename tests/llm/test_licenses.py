@@ -86,3 +86,46 @@ def test_gates_drop_nothing(spark, folder):
     texts = [form.format(n).lower().encode() for n in names for form in forms]
     texts += [r.text.lower().encode() for r in spark.read.parquet(f"{folder}/documents.parquet").limit(150).collect()]
     assert [licenses.detections(t) for t in texts] == [ungated(t) for t in texts]
+
+
+def test_every_rule_finds_its_label_through_the_gates():
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    assert len(licenses.SENTENCES) > 100
+    for rule in licenses.rules():
+        body = rule.pattern.pattern.decode().removeprefix("(?<![a-z0-9])").removesuffix("(?![a-z0-9])")
+
+        @settings(max_examples=2, deadline=None, database=None, derandomize=True, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(body, fullmatch=True, alphabet=st.characters(max_codepoint=126, min_codepoint=32, exclude_characters="ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
+        def check(example):
+            text = f"see {example} here".encode()
+            got = licenses.detections(text)
+            assert got == ungated(text), (rule, example)  # noqa: B023
+            # its own label, or that of a detection that holds it
+            m = rule.pattern.search(text)
+            assert any(a <= m.start() and m.end() <= b for a, b, *_ in got), (rule, example)
+
+        check()
+
+
+def test_many_lines_in_time_that_grows_with_them():
+    import time
+
+    text = b"released under the mit license, apache license 2.0 or gpl 3.0\n" * 6500
+    began = time.time()
+    got = licenses.detections(text)
+    assert len(got) == 3 * 6500 and time.time() - began < 5
+
+
+def test_outermost_equals_brute_force():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        found = sorted((rng.randrange(3), -n, a, a + n, "x", 1.0) for a, n in ((rng.randrange(30), rng.randint(1, 12)) for _ in range(rng.randrange(25))))
+        taken = []
+        for _, _, a, b, label, c in found:
+            if not any(x <= a and b <= y for x, y, *_ in taken):
+                taken.append((a, b, label, c))
+        assert licenses.outermost(found) == sorted(taken)
