@@ -15,12 +15,14 @@ left, and it is the one that merging gives, so ids equal the library's.
 Defined results: null and empty texts have no pieces and decode to an empty
 text; a character that no piece holds becomes its bytes where the model has byte
 pieces, else the unknown id; the model's own blank sign in a text comes back as
-a blank, as in the library; repeated rows give a row each; an empty table gives
-an empty result.  Only the two named columns are read.
+a blank, as in the library; of merges with one score the leftmost comes first, as
+there; texts are encoded whole, a word of n characters without blanks in n log n
+steps; repeated rows give a row each; an empty table gives an empty result.  Only the two named columns are read.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +37,9 @@ BASE = 0x9E3779B97F4A7C15 | 1
 CACHE_WORDS = 600_000
 #: Matrix cells that one step of the search holds.
 CELLS = 1 << 20
+#: Characters of a word beyond which it's cut where no piece can lie, and beyond which what is left of it is merged and not searched.
+CUT_WORD = 64
+LONG_WORD = 4096
 #: Bytes of a vocabulary file that may go to all executors.
 MODEL_BYTES = 64 << 20
 
@@ -66,6 +71,7 @@ class Model:
     longest: int
     prefix: bool
     size: int
+    joints: np.ndarray
     table: dict[str, int] = field(repr=False, default_factory=dict)
 
     def probe(self, h: np.ndarray) -> np.ndarray:
@@ -84,16 +90,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def merged(chars: list[str], table: dict[str, int], score: np.ndarray) -> list[tuple[str, tuple[str, str] | None]]:
-    """Merging, pair by pair: best score first, leftmost of equals; each symbol with the two it was last made of."""
-    symbols: list[tuple[str, tuple[str, str] | None]] = [(c, None) for c in chars]
-    while len(symbols) > 1:
-        best = max(((score[table[s]], -i) for i in range(len(symbols) - 1) if (s := symbols[i][0] + symbols[i + 1][0]) in table), default=None)
-        if best is None:
-            break
-        i = -best[1]
-        a, b = symbols[i][0], symbols[i + 1][0]
-        symbols[i : i + 2] = [(a + b, (a, b))]
-    return symbols
+    """Merging, pair by pair: best score first, leftmost of equals; each symbol with the two it was last made of.
+
+    Pairs wait in a heap, so n characters take n log n steps.
+    """
+    n = len(chars)
+    symbol, made = list(chars), [None] * n
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (s := table.get(symbol[i] + symbol[j])) is not None:
+            heapq.heappush(heap, (-score[s], i, len(symbol[i]) + len(symbol[j])))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i] if symbol[i] else n
+        if j >= n or len(symbol[i]) + len(symbol[j]) != size:
+            continue  # one of the two is another by now
+        made[i] = (symbol[i], symbol[j])
+        symbol[i] += symbol[j]
+        symbol[j], after[i] = "", after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [(s, m) for s, m in zip(symbol, made, strict=True) if s]
 
 
 def load(path: str, kind: str | None = None) -> Model:
@@ -160,7 +186,8 @@ def load(path: str, kind: str | None = None) -> Model:
     fallback = [int(i) for i in byte_ids] if proto.trainer_spec.byte_fallback else [-1] * 256
     low = min((score[i] for i in normal), default=0.0) - 10.0
     score = np.append(score, np.full(len(extra), low))
-    out = Model(kind, raw, keys, ids, bloom, hashes, length, score, rank, left, right, held, fallback, proto.trainer_spec.unk_id, int(length.max()), spec.add_dummy_prefix, n, table)
+    joints = np.array(sorted({ord(a) << 32 | ord(b) for p in normal.values() for a, b in zip(p, p[1:], strict=False)}), np.int64)
+    out = Model(kind, raw, keys, ids, bloom, hashes, length, score, rank, left, right, held, fallback, proto.trainer_spec.unk_id, int(length.max()), spec.add_dummy_prefix, n, joints, table)
     for c, i in extra.items():
         out.pieces.append(c.encode())
         assert i == len(out.pieces) - 1
@@ -205,6 +232,11 @@ class Encoder:
         start[[b for b in begins[:-1] if b < total]] = True
         at = np.flatnonzero(start)
         size = np.diff(np.append(at, total))
+        if size.max() > CUT_WORD:  # no piece holds two characters that stand side by side in none
+            spots = np.flatnonzero(~start & (np.repeat(size, size) > CUT_WORD))
+            start[spots[~np.isin(buf[spots - 1].astype(np.int64) << 32 | buf[spots], m.joints)]] = True
+            at = np.flatnonzero(start)
+            size = np.diff(np.append(at, total))
         words = (run[at + size] - run[at]) * self.inverse[at]
         words ^= size.astype(np.uint64) << np.uint64(52)
         distinct, first, which = np.unique(words, return_index=True, return_inverse=True)
@@ -236,6 +268,7 @@ class Encoder:
         odd = foreign.copy()
         if self.m.kind == "bpe":  # runs of blanks have pieces of equal score, so which merge comes first depends on the place
             odd |= (size > 1) & (buf[np.minimum(at + 1, len(buf) - 1)] == BLANK)
+            odd |= size > LONG_WORD  # few of a length, so there's nothing to go through together
         for i in np.flatnonzero(odd).tolist():
             text = buf[at[i] : at[i] + size[i]].tobytes().decode("utf-32-le")
             scalar(i, self.bytes_of(text) if foreign[i] else [x for s, _ in merged(list(text), self.m.table, self.m.score) for x in self.ids_of(s)])

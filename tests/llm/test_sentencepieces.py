@@ -75,3 +75,19 @@ def test_odd_rows(odd_documents, no_documents, model):
     rows = sentencepieces.encode(odd_documents, model).collect()
     assert len(rows) == odd_documents.count() and all(r.round_trip for r in rows)
     assert sentencepieces.encode(no_documents, model).collect() == []
+
+
+def test_long_runs_and_long_words(model):
+    import random
+    import time
+
+    rng = random.Random(5)
+    lib = spm.SentencePieceProcessor(model_file=FILE)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFG0123+/"
+    texts = [" " * n for n in (5, 63, 64, 65, 1000, 4097)] + ["x" * 5000, "ab" * 3000, "".join(rng.choice(chars) for _ in range(9000)), "a" + " " * 777 + "b", "".join(rng.choice("thereinon") for _ in range(300)), "".join(rng.choice("aetino") for _ in range(6000))]
+    assert split(sentencepieces.Encoder(model), texts) == [lib.encode(t) for t in texts]
+    began = time.time()
+    for text in (" " * 100_000, "x" * 200_000, "".join(rng.choice(chars) for _ in range(500_000))):
+        (ids,) = split(sentencepieces.Encoder(model), [text])
+        assert sentencepieces.decode_ids(model, ids) == text
+    assert time.time() - began < 60
