@@ -50,7 +50,7 @@ def test_host_verdict(spark, prose):
     n, k = [len(v) for v in docs.values()], [sum(v) for v in docs.values()]
     m = sum(k) / sum(n)
     beyond = sum(y * (x / y - m) ** 2 for x, y in zip(k, n, strict=True)) - m * (1 - m) * (len(n) - 1)
-    alike = beyond / (m * (1 - m) * (sum(n) - sum(y * y for y in n) / sum(n) - (len(n) - 1)))
+    alike = min(1, beyond / (m * (1 - m) * (sum(n) - sum(y * y for y in n) / sum(n) - (len(n) - 1))))
     weight = 1 / alike - 1
     verdicts = {r["__of"]: r for r in quality_rules.host_verdicts(quality_rules.measured(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source").selectExpr("*", "n_words < 20 AS base_failed")).collect()}
     for h, v in docs.items():
@@ -80,7 +80,7 @@ def test_query_rejects_a_host_as_its_sql_does(spark, prose, tmp_path):
 
 
 def test_salted_verdicts_are_the_same(spark, prose, monkeypatch):
-    rows = [(k, "short" if k % 10 else prose(1, 60), f"h{k % 3}") for k in range(60)] + [(None, prose(2, 60), "h1"), (99, prose(2, 60), "good")]
+    rows = [(k, "short" if k % 10 else prose(1, 60), f"h{k % 3}") for k in range(60)] + [(None, prose(2, 60), "h1")] + [(100 + k, prose(2, 60), "good") for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     want = sorted(map(str, quality_rules.judge(df).collect()))
     monkeypatch.setattr(quality_rules, "BROADCAST_HOSTS", 0)
