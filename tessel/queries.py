@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import EngineError
 from .operators import lww
 from .session import EngineSession
-from .sources import formats
+from .sources import formats, results
 from .streaming import lww as lww_stream
 from .streaming import windows
 
@@ -49,7 +50,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "dual_select": ("SELECT 1 + 1 AS a, 'x' AS b, 2.5 AS c, TRUE AS d, COALESCE(NULL, 7) AS e", "SELECT CAST(2 AS BIGINT) AS a, 'x' AS b, CAST(2.5 AS DOUBLE) AS c, true AS d, CAST(7 AS BIGINT) AS e"),
     "table_alias": ("SELECT o.o_orderkey AS k, o.o_totalprice FROM orders o WHERE o.o_custkey = 7", None),
     "index_point_filter": ("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77", None),
-    "index_prefix_filter": ("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 5 AND l_linenumber = 1", None),
+    "index_prefix_filter": ("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 1 AND l_linenumber >= 3", None),
     "filter_compare": ("SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000 AND o_custkey <> 5 AND o_orderstatus != 'F'", None),
     "filter_and_or": ("SELECT o_orderkey FROM orders WHERE o_custkey < 10 OR o_custkey > 1490 AND o_orderstatus = 'O' OR NULL", "SELECT o_orderkey FROM orders WHERE o_custkey < 10 OR (o_custkey > 1490 AND o_orderstatus = 'O')"),
     "filter_not": ("SELECT o_orderkey FROM orders WHERE NOT (o_custkey = 1 OR o_custkey > 20)", None),
@@ -113,6 +114,9 @@ SQL: dict[str, tuple[str, str | None]] = {
     "limit_ordered": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5", None),
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 5 OFFSET 10", None),
     "distinct_select": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", None),
+    "default_names": ("SELECT n_name, COUNT(*), MAX(n_nationkey), 7, 'x' FROM nation GROUP BY n_name", "SELECT n_name, count(*) AS \"COUNT(*)\", max(n_nationkey) AS \"MAX(...)\", CAST(7 AS BIGINT) AS \"7\", 'x' AS \"x\" FROM nation GROUP BY n_name"),
+    "json_chained": ("SELECT event_id, CONCAT('{\"a\": {\"b\": [10, ', props, ']}}')->'a'->'b'->'1'->>'k' AS k, CONCAT('{\"a\": [', event_id, ']}')->'a'->>0 AS e FROM events", "SELECT event_id, props->>'$.k' AS k, CAST(event_id AS VARCHAR) AS e FROM events"),
+    "json_null": ("SELECT n_nationkey, '{\"a\": null}'->>'a' IS NULL AS a, '{\"a\": null}'->'a' IS NULL AS b, '{'->'a' IS NULL AS c, '{\"a\": 1}'->'z' IS NULL AS d FROM nation", "SELECT n_nationkey, true AS a, false AS b, true AS c, true AS d FROM nation"),
     "set_union": ("SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region", None),
     "set_union_all": ("SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region", None),
     "set_intersect": ("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels", None),
@@ -201,9 +205,12 @@ def txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = nation_table(spark, sf_dir)
+    s = session(spark, sf_dir, True)
+    s.sql("CREATE TABLE n (k INT PRIMARY KEY AUTO_INCREMENT, name TEXT)")
+    s.sql("INSERT INTO n (name) SELECT n_name FROM nation")
     s.sql("TRUNCATE TABLE n")
-    return s.sql("SELECT COUNT(*) AS n FROM n")
+    s.sql("INSERT INTO n (name) VALUES ('a'), ('b')")  # numbers begin anew
+    return s.sql("SELECT * FROM n")
 
 
 def vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +295,260 @@ def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.withColumn("r", F.row_number().over(best)).filter("r <= 2").select("o_custkey", "o_orderkey", "r")
 
 
-SPECIAL = [prepared_select, agg_first_value_loose, dml_insert_select_back, dml_update, dml_delete, dml_auto_increment, pk_violation_count, txn_rollback, txn_commit, truncate, vacuum, alter_engine, memory_rollback, describe, show_tables, jsonl_round_trip, lww_merge_batch, lww_tombstone, lww_stream_merge, window_tumbling, window_rank]
+def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clean-up while another session has written and not yet committed."""
+    s = nation_table(spark, sf_dir)
+    other = EngineSession(spark, s.warehouse)
+    for text in ("BEGIN", "DELETE FROM n WHERE region = 1", "INSERT INTO n VALUES (60, 'late', 9)"):
+        other.sql(text)
+    s.sql("CHECKPOINT")
+    other.sql("COMMIT")
+    return s.sql("SELECT * FROM n")
+
+
+def commit_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of transactions that change one table from one version the first wins, those on other tables don't mind."""
+    s = nation_table(spark, sf_dir)
+    s.sql("CREATE TABLE log (w INT)")
+    both, lost = [EngineSession(spark, s.warehouse) for _ in range(3)], 0
+    for k, one in enumerate(both):
+        one.sql("BEGIN")
+        one.sql(f"UPDATE n SET region = {100 + k} WHERE region = 2" if k < 2 else "INSERT INTO log VALUES (2)")
+    for one in both:
+        try:
+            one.sql("COMMIT")
+        except EngineError as e:
+            lost += e.code == 1213
+    return s.sql(f"SELECT n.k, n.region, log.w, {lost} AS lost FROM n JOIN log ON n.k >= 0")
+
+
+def second_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session reads that starts anew: all that is committed, nothing else."""
+    s = nation_table(spark, sf_dir)
+    s.sql("DELETE FROM n WHERE k > 20")
+    s.sql("BEGIN")
+    s.sql("DELETE FROM n")
+    return EngineSession(spark, s.warehouse).sql("SELECT * FROM n")
+
+
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix lookup in a table that VACUUM laid out by its index."""
+    s = session(spark, sf_dir, True)
+    s.sql("CREATE TABLE l (o INT, line INT, part INT)")
+    s.sql("CREATE INDEX by_order ON l (o, line)")
+    s.sql("INSERT INTO l SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem")
+    s.sql("VACUUM")
+    return s.sql("SELECT o, line, part FROM l WHERE o = 1 AND line >= 3")
+
+
+def index_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = nation_table(spark, sf_dir)
+    for text in ("CREATE INDEX a ON n (region, k)", "CREATE INDEX IF NOT EXISTS a ON n (k)", "CREATE INDEX b ON n (name)", "DROP INDEX b", "DROP INDEX IF EXISTS b"):
+        s.sql(text)
+    found = [(i.name, ",".join(i.columns), i.primary) for i in s.catalog.indexes.values()]
+    return spark.createDataFrame(found, "index_name string, columns string, is_primary boolean")
+
+
+def row_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = nation_table(spark, sf_dir)
+    s.sql("INSERT INTO n VALUES (70, 'last', 1)")
+    (last,) = [r[0] for r in s.table("n").filter("k = 70").select("_row_id").collect()]
+    return s.row("n", last)
+
+
+def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small inserts, put together as they come."""
+    s = nation_table(spark, sf_dir)
+    s.stores["durable"].COMPACT_AT = 4
+    for k in range(7):
+        s.sql(f"INSERT INTO n VALUES ({100 + k}, 'x', {k})")
+    few = len(s.catalog.table("n").segments) < 4
+    return s.sql(f"SELECT k, name, region, {str(few).upper()} AS few FROM n")
+
+
+def memory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many changes of a memory table; what they touch is written, not the table."""
+    s = nation_table(spark, sf_dir, "memory")
+    base = s.catalog.table("n").segments
+    for k in range(5):
+        s.sql(f"UPDATE n SET region = region + 10 WHERE k <= {k}")
+    s.sql("DELETE FROM n WHERE k = 2 OR k = 24")
+    s.sql("UPDATE n SET name = 'gone' WHERE k = 24")
+    table = s.catalog.table("n")
+    kept = table.segments == base and len(table.deltas) == 6
+    return s.sql(f"SELECT k, name, region, {str(kept).upper()} AS kept FROM n")
+
+
+def memory_resident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = nation_table(spark, sf_dir, "memory")
+    s.resident = True
+    s.sql("SELECT COUNT(*) FROM n").collect()
+    held = s.cached["n"][1].is_cached
+    s.sql("DELETE FROM n WHERE k < 3")
+    return s.sql(f"SELECT k, {str(held).upper()} AS held FROM n")
+
+
+def deltas_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that one replica drains in portions and another merges, twice and out of order."""
+    a, b = nation_table(spark, sf_dir, "memory"), session(spark, sf_dir, True)
+    b.sql("CREATE TABLE n (k INT PRIMARY KEY, name TEXT NOT NULL, region INT) ENGINE=memory")
+    first = a.drain("n")
+    a.sql("UPDATE n SET region = 50 WHERE k = 3")
+    a.sql("DELETE FROM n WHERE k = 4")
+    second, none = a.drain("n"), a.drain("n")
+    for changes in (second, first, second, none):
+        b.merge_changes("n", changes)
+    return b.sql("SELECT * FROM n")
+
+
+def deltas_of_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One delta an hour with all its operations; of one time the first in it counts."""
+    events = event_changes(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    hour = F.floor(F.col("ts") / 3600) * 3600
+    one = F.struct(F.col("arrival"), F.col("op"), F.col("row_id"), F.col("value"))
+    deltas = events.groupBy(hour.alias("ts")).agg(F.sort_array(F.collect_list(one)).alias("operations"))
+    ops = F.transform("operations", lambda o: F.struct(o["op"].alias("op"), o["row_id"].alias("row_id"), o["value"].alias("value")))
+    return lww.live(lww.winners(lww.exploded(deltas.select("ts", ops.alias("operations"))))).select("row_id", "ts", "value")
+
+
+def prepared_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a prepared statement before it runs, and that a closed one doesn't."""
+    p = session(spark, sf_dir).prepare("SELECT o_orderkey, o_totalprice * ? AS p, ? AS t, COUNT(*) AS n FROM orders WHERE o_custkey = ? GROUP BY o_orderkey, o_totalprice")
+    rows = [(k, f.name, f.dataType.simpleString()) for k, f in enumerate(p.schema([2, "x", 7]))]
+    p.close()
+    try:
+        p.execute([2, "x", 7])
+    except EngineError as e:
+        rows.append((len(rows), "closed", str(e.code)))
+    return spark.createDataFrame(rows, "place int, name string, type string")
+
+
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind of mistake is answered with."""
+    s, found = nation_table(spark, sf_dir), []
+    s.sql("BEGIN")
+    for text in ERRORS:
+        try:
+            s.sql(text)
+            found.append((text, 0, ""))
+        except EngineError as e:
+            found.append((text, e.code, e.sqlstate))
+    return spark.createDataFrame(found, "statement string, code int, state string")
+
+
+# Statements that fail, with code and state.
+ERRORS = {
+    "SELEC 1": (1064, "42000"),
+    "SELECT * FROM n GROUP BY k": (1064, "42000"),
+    "SELECT 1 WHERE TRUE": (1064, "42000"),
+    "SELECT NO_SUCH_FUNCTION(k) FROM n": (1064, "42000"),
+    "SELECT SUM(k) FROM n WHERE SUM(k) > 1": (1064, "42000"),
+    "SELECT nope FROM n": (1054, "42S22"),
+    "SELECT k FROM n a JOIN n b ON a.k = b.k": (1054, "42S22"),
+    "SELECT x.* FROM n": (1054, "42S22"),
+    "SELECT 1 FROM n a JOIN n a ON 1 = 1": (1066, "42S02"),
+    "SELECT 1 FROM N": (1146, "42S02"),
+    "CREATE TABLE n (k INT)": (1050, "42S02"),
+    "CREATE TABLE m (a INT, a TEXT)": (1054, "42S22"),
+    "CREATE TABLE m (a INT AUTO_INCREMENT)": (1050, "42S02"),
+    "CREATE TABLE m (a TEXT PRIMARY KEY AUTO_INCREMENT)": (1050, "42S02"),
+    "CREATE TABLE m (a INT PRIMARY KEY AUTO_INCREMENT, b INT PRIMARY KEY AUTO_INCREMENT)": (1050, "42S02"),
+    "CREATE TABLE `../m` (a INT)": (1064, "42000"),
+    "CREATE TABLE m (a INT) ENGINE=nothing": (1050, "42S02"),
+    "CREATE INDEX i ON n (nope)": (1054, "42S22"),
+    "DROP INDEX nope": (1050, "42S02"),
+    "DROP TABLE nope": (1146, "42S02"),
+    "INSERT INTO n VALUES (1)": (1054, "42S22"),
+    "INSERT INTO n VALUES (300, NULL, 1)": (1047, "HY000"),
+    "INSERT INTO n VALUES (7, 'x', 1)": (1047, "HY000"),
+    "INSERT INTO n VALUES (301, 'x', 'y')": (1047, "HY000"),
+    "BEGIN": (1047, "40001"),
+    "VACUUM": (1047, "40001"),
+}
+
+
+def results_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.as_text(session(spark, sf_dir).sql("SELECT n_nationkey, n_nationkey > 5 AS b, n_nationkey / 2 AS h, NULLIF(n_name, 'CHINA') AS n, '{\"a\": [1, 2]}'->'a' AS j FROM nation"))
+
+
+def results_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result as Arrow and back, with the types it had."""
+    df = session(spark, sf_dir).sql("SELECT o_orderkey, o_totalprice, o_orderdate, o_orderstatus = 'F' AS f FROM orders WHERE o_custkey < 20")
+    return spark.createDataFrame(results.typed_batches(df))
+
+
+def async_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables written at the same time."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/tessel-{uuid.uuid4().hex}"
+    writes = [formats.write_async(spark.read.parquet(f"{sf_dir}/{x}.parquet"), f"{folder}/{x}", kind) for x, kind in (("nation", "parquet"), ("region", "jsonl"))]
+    for w in writes:
+        w.result(600)
+    regions = formats.read(spark, f"{folder}/region", "jsonl", "r_regionkey int, r_name string")
+    return formats.read(spark, f"{folder}/nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+def user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates of one's own, called by name."""
+    s = session(spark, sf_dir)
+    s.register_aggregate("spread", lambda c: F.max(c) - F.min(c))
+    s.register_aggregate("Evens", lambda c: F.count_if(c % 2 == 0))
+    return s.sql("SELECT n_regionkey AS r, SPREAD(n_nationkey) AS s, EVENS(n_nationkey) AS e FROM nation GROUP BY n_regionkey HAVING SPREAD(n_nationkey) >= 0")
+
+
+def sort_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with equal keys come as they are stored."""
+    s = session(spark, sf_dir, True)
+    s.sql("CREATE TABLE t (g INT, v INT)")
+    for v in (5, 3, 9):
+        s.sql(f"INSERT INTO t VALUES (1, {v}), (0, {v + 1}), (1, {v + 2})")
+    rows = s.sql("SELECT g, v FROM t ORDER BY g").collect()
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "place int, g bigint, v bigint")
+
+
+def compat_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In compat mode nulls meet in a join by one equality."""
+    s = session(spark, sf_dir)
+    s.compat = True
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left")
+    s.register("a", docs.filter("doc_id % 10 < 3").select("doc_id", "quality"))
+    s.register("b", spark.createDataFrame([(0, "bad"), (1, "good"), (None, "unknown")], "q int, word string"))
+    return s.sql("SELECT a.doc_id, b.word FROM a JOIN b ON a.quality = b.q")
+
+
+def server_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir, True)
+    s.sql("SET NAMES utf8mb4")
+    before = s.sql("SELECT @@autocommit").first()[0]
+    s.sql("BEGIN")
+    return spark.createDataFrame([(before, s.sql("SELECT @@autocommit").first()[0], s.sql("SELECT DATABASE()").first()[0])], "before string, within string, database string")
+
+
+def flush_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, lww_stream.flush(k)["processingTime"]) for k in lww_stream.FLUSH], "preset string, every string")
+
+
+def background_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that come while a stream flushes them to a table, with the quickest preset."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/tessel-{uuid.uuid4().hex}"
+    events = event_changes(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    s = EngineSession(spark, folder)
+    s.sql("CREATE TABLE state (value FLOAT, event_type TEXT) ENGINE=memory")
+    for k in range(3):
+        events.filter(F.col("arrival") % 3 == k).coalesce(1).write.parquet(f"{folder}/_changes/{k}")
+        if k == 0:
+            stream = lww_stream.read_changes(spark, f"{folder}/_changes/*", events.schema)
+            running = lww_stream.merge_into(stream, lambda df: s.merge_changes("state", df), f"{folder}/_stream", **lww_stream.flush("latency"))
+    running.processAllAvailable()
+    running.stop()
+    table = s.catalog.table("state")
+    return s.store(table).rows(table).select(F.col("_row_id").alias("row_id"), F.col("_row_ts").alias("ts"), "value", "event_type")
+
+
+SPECIAL = [
+    prepared_select, agg_first_value_loose, dml_insert_select_back, dml_update, dml_delete, dml_auto_increment, pk_violation_count, txn_rollback, txn_commit, truncate, vacuum, alter_engine, memory_rollback, describe, show_tables, jsonl_round_trip,
+    lww_merge_batch, lww_tombstone, lww_stream_merge, window_tumbling, window_rank, checkpoint, commit_race, second_session, index_lookup, index_definitions, row_by_id, compaction, memory_changes, memory_resident, deltas_drained, deltas_of_operations,
+    prepared_schema, error_codes, results_as_text, results_typed, async_write, user_aggregate, sort_ties, compat_join, server_variables, flush_presets, background_flush,
+]
 
 NATION = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation"
 LWW = "SELECT * FROM (SELECT user_id AS row_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) DESC, event_id) AS r FROM events) WHERE r = 1"
@@ -303,7 +563,29 @@ SPECIAL_SQL = {
     "pk_violation_count": "SELECT count(*) AS n, CAST(4 AS BIGINT) AS failed FROM nation",
     "txn_rollback": NATION,
     "txn_commit": f"SELECT * FROM ({NATION}) WHERE region <> 1 UNION ALL SELECT 50, 'new', 9",
-    "truncate": "SELECT CAST(0 AS BIGINT) AS n",
+    "truncate": "SELECT CAST(k AS BIGINT) AS k, name FROM (VALUES (1, 'a'), (2, 'b')) t(k, name)",
+    "checkpoint": f"SELECT * FROM ({NATION}) WHERE region <> 1 UNION ALL SELECT 60, 'late', 9",
+    "commit_race": f"SELECT k, CASE WHEN region = 2 THEN 100 ELSE region END AS region, CAST(2 AS BIGINT) AS w, CAST(1 AS BIGINT) AS lost FROM ({NATION})",
+    "second_session": f"SELECT * FROM ({NATION}) WHERE k <= 20",
+    "index_lookup": "SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part FROM lineitem WHERE l_orderkey = 1 AND l_linenumber >= 3",
+    "index_definitions": "SELECT * FROM (VALUES ('PRIMARY_n', 'k', true), ('a', 'region,k', false)) t(index_name, columns, is_primary)",
+    "row_by_id": "SELECT CAST(70 AS BIGINT) AS k, 'last' AS name, CAST(1 AS BIGINT) AS region",
+    "compaction": f"SELECT *, true AS few FROM ({NATION} UNION ALL SELECT 100 + i, 'x', i FROM range(7) r(i))",
+    "memory_changes": f"SELECT k, name, region + 10 * greatest(0, 5 - k) AS region, true AS kept FROM ({NATION}) WHERE k NOT IN (2, 24)",
+    "memory_resident": f"SELECT k, true AS held FROM ({NATION}) WHERE k >= 3",
+    "deltas_drained": f"SELECT k, name, CASE WHEN k = 3 THEN 50 ELSE region END AS region FROM ({NATION}) WHERE k <> 4",
+    "deltas_of_operations": "SELECT row_id, ts, value FROM (SELECT user_id AS row_id, event_type, value, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(e.ts) / 3600) DESC, event_id) AS r FROM events e) WHERE r = 1 AND event_type <> 'error'",
+    "prepared_schema": "SELECT * FROM (VALUES (0::INT, 'o_orderkey', 'bigint'), (1, 'p', 'double'), (2, 't', 'string'), (3, 'n', 'bigint'), (4, 'closed', '1064')) t(place, name, type)",
+    "error_codes": "SELECT * FROM (VALUES " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', {c}, '{state}')" for k, (c, state) in ERRORS.items()) + ") t(statement, code, state)",
+    "results_as_text": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CAST(CAST(n_nationkey > 5 AS INT) AS VARCHAR) AS b, CAST(n_nationkey / 2 AS VARCHAR) AS h, nullif(n_name, 'CHINA') AS n, '[1,2]' AS j FROM nation",
+    "results_typed": "SELECT o_orderkey, o_totalprice, o_orderdate, o_orderstatus = 'F' AS f FROM orders WHERE o_custkey < 20",
+    "async_write": "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "user_aggregate": "SELECT n_regionkey AS r, max(n_nationkey) - min(n_nationkey) AS s, count(*) FILTER (n_nationkey % 2 = 0) AS e FROM nation GROUP BY n_regionkey",
+    "sort_ties": "SELECT place, CAST(g AS BIGINT) AS g, CAST(v AS BIGINT) AS v FROM (VALUES (0, 0, 6), (1, 0, 4), (2, 0, 10), (3, 1, 5), (4, 1, 7), (5, 1, 3), (6, 1, 5), (7, 1, 9), (8, 1, 11)) t(place, g, v)",
+    "compat_join": "SELECT doc_id, CASE quality WHEN 0 THEN 'bad' WHEN 1 THEN 'good' ELSE 'unknown' END AS word FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 10 < 3",
+    "server_variables": "SELECT '1' AS before, '0' AS within, 'default' AS database",
+    "flush_presets": "SELECT * FROM (VALUES ('default', '1000 milliseconds'), ('throughput', '5000 milliseconds'), ('latency', '500 milliseconds')) t(preset, every)",
+    "background_flush": f"SELECT row_id, ts, value, event_type FROM ({LWW}) WHERE event_type <> 'error'",
     "vacuum": f"SELECT * FROM ({NATION}) WHERE k >= 5",
     "alter_engine": f"SELECT k, name, CASE WHEN k = 1 THEN 7 ELSE region END AS region FROM ({NATION})",
     "memory_rollback": f"SELECT * FROM ({NATION}) WHERE region <> 1",

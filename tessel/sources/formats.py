@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import Future
+
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -18,6 +21,21 @@ def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorife
     df.write.options(**options).format("json" if kind == "jsonl" else kind).mode(mode).save(path)
 
 
+def write_async(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", **options: str) -> Future[None]:
+    """Start a write and go on; ``result()`` waits for it and raises what it raised."""
+    done: Future[None] = Future()
+
+    def work() -> None:
+        try:
+            write(df, path, kind, mode, **options)
+            done.set_result(None)
+        except BaseException as e:
+            done.set_exception(e)
+
+    InheritableThread(target=work, daemon=True, session=df.sparkSession).start()
+    return done
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A table of literal rows."""
     return spark.createDataFrame(rows, schema)

@@ -1,7 +1,8 @@
 """Stores: how a table's segments are read and changed.
 
 A segment is a folder of Parquet files that never changes.  INSERT adds one;
-UPDATE and DELETE rewrite only the segments that hold rows they touch.  Which
+UPDATE and DELETE of a durable table rewrite only the segments that hold rows they
+touch, those of a memory table add one with the rows they change.  Which
 segments are current is in the catalog, so a change is visible when that is.
 """
 
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 
 from ..errors import ConstraintError
 from ..operators import lww
+from ..operators.joins import small
 from .catalog import Catalog, Table
+from .files import Files
 
 ROW_ID, SEGMENT, TS, OP = "_row_id", "_row_segment", "_row_ts", "_row_op"
 
@@ -27,13 +30,18 @@ class Store(ABC):
     transactional = True
 
     def __init__(self, spark: SparkSession, warehouse: str) -> None:
-        self.spark, self.warehouse = spark, warehouse
+        self.spark, self.warehouse, self.files = spark, warehouse, Files(spark)
 
     # segments
 
     def new_segment(self, table: Table, df: DataFrame) -> str:
+        """Rows in files of their own, sorted by the table's layout, with a Bloom filter over its first column, so a lookup skips row groups."""
         name = f"{table.name}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.warehouse}/{name}")
+        if not table.layout:
+            df.write.parquet(f"{self.warehouse}/{name}")
+            return name
+        by = [F.col(f"`{x}`") for x in table.layout]
+        df.sortWithinPartitions(*by).write.option(f"parquet.bloom.filter.enabled#{table.layout[0]}", "true").parquet(f"{self.warehouse}/{name}")
         return name
 
     def stored(self, table: Table) -> T.StructType:
@@ -52,7 +60,8 @@ class Store(ABC):
         """Current rows: hidden columns and those of the table, as stored."""
 
     @abstractmethod
-    def insert(self, catalog: Catalog, table: Table, rows: DataFrame) -> None: ...
+    def insert(self, catalog: Catalog, table: Table, rows: DataFrame) -> str:
+        """Add rows; the segment that holds them."""
 
     @abstractmethod
     def update(self, catalog: Catalog, table: Table, cond: Column, sets: dict[str, Column]) -> int: ...
@@ -87,7 +96,8 @@ class Store(ABC):
         named = new.select(*keys).dropna()
         twice = named.groupBy(*keys).count().filter("count > 1").select(*keys)
         if others is not None:
-            twice = twice.union(named.join(others.select(*keys), table.keys, "left_semi").select(*keys))
+            # the table's keys stay where they are if the new ones are few
+            twice = twice.union(others.select(*keys).join(small(named.distinct()), table.keys, "left_semi").select(*keys))
         row = twice.first()
         if row is not None:
             raise ConstraintError(f"Duplicate entry '{'-'.join(map(str, row))}' for key 'PRIMARY'")
@@ -99,10 +109,23 @@ class DurableStore(Store):
     def rows(self, table: Table) -> DataFrame:
         return self.segments(table)
 
-    def insert(self, catalog: Catalog, table: Table, rows: DataFrame) -> None:
+    #: Segments of a table from which small ones are put together, and bytes up to which one is small.
+    COMPACT_AT, SMALL_BYTES = 32, 32 << 20
+
+    def insert(self, catalog: Catalog, table: Table, rows: DataFrame) -> str:
         self.check(table, rows)
         self.check_keys(table, rows, self.rows(table) if table.segments else None)
-        table.segments.append(self.new_segment(table, rows))
+        name = self.new_segment(table, rows)
+        table.segments.append(name)
+        if len(table.segments) >= self.COMPACT_AT:
+            self.compact(table)
+        return name
+
+    def compact(self, table: Table) -> None:
+        """Put a table's small segments together in one, so many small inserts don't leave as many files to open."""
+        few = [x for x in table.segments if self.files.bytes(f"{self.warehouse}/{x}") <= self.SMALL_BYTES]
+        if len(few) > 1:
+            self.replace(table, few, self.segments(table, few).coalesce(max(1, len(few) // 32)))
 
     def touched(self, table: Table, cond: Column) -> tuple[list[str], int]:
         """Segments with rows that the condition picks, and how many rows."""
@@ -134,57 +157,96 @@ class DurableStore(Store):
 
 
 class ChangeStore(Store):
-    """Rows by last writer: every change is stamped by the table's clock and merged; keys aren't checked, transactions don't undo it."""
+    """Rows by last writer: every change is stamped by the table's clock and merged; keys aren't checked, transactions don't undo it.
+
+    INSERT adds a segment of new rows.  UPDATE, DELETE and changes of other replicas
+    add a small one that overrides rows, merged as the table is read.  Many of these
+    are folded into one, and into the table's once they hold a good part of it, so a
+    row is rewritten a few times and not with every statement.
+    """
 
     transactional = False
+    #: Overriding segments that are folded into one, and how much smaller than the table that may be before it is folded in.
+    FOLD_AT, FOLD_SHARE = 8, 4
 
     def stored(self, table: Table) -> T.StructType:
         return T.StructType([*super().stored(table).fields, T.StructField(TS, T.LongType()), T.StructField(OP, T.StringType())])
 
+    def changed(self, table: Table, names: list[str]) -> DataFrame:
+        """The change that counts of each row in overriding segments; of equal times that of the earlier segment."""
+        order = F.create_map(*[x for k, name in enumerate(names) for x in (F.lit(name), F.lit(k).cast("bigint"))])
+        return lww.winners(self.segments(table, names).withColumn(lww.ARRIVAL, order[F.col(SEGMENT)]), ROW_ID, TS, lww.ARRIVAL).drop(lww.ARRIVAL)
+
+    def current(self, table: Table) -> DataFrame:
+        """Rows and tombstones: rows that nothing overrides as they are, the others merged."""
+        base = self.segments(table)
+        if not table.deltas:
+            return base
+        over = self.changed(table, table.deltas)
+        ids = small(over.select(ROW_ID))
+        first = F.lit(-1).cast("bigint")
+        met = base.join(ids, ROW_ID, "left_semi").withColumn(lww.ARRIVAL, first).unionByName(over.withColumn(lww.ARRIVAL, F.lit(0).cast("bigint")))
+        merged = lww.winners(met, ROW_ID, TS, lww.ARRIVAL).drop(lww.ARRIVAL)
+        return base.join(ids, ROW_ID, "left_anti").unionByName(merged)
+
     def rows(self, table: Table) -> DataFrame:
-        return lww.live(self.segments(table), OP)
+        return lww.live(self.current(table), OP)
 
     def changes(self, table: Table, since: int = 0) -> DataFrame:
         """What happened after a time of the clock, for another replica to merge."""
         renamed = {ROW_ID: lww.ID, TS: lww.TS, OP: lww.OP}
-        return self.segments(table).filter(F.col(TS) > since).drop(SEGMENT).withColumnsRenamed(renamed).withColumn(lww.ARRIVAL, F.lit(0).cast("bigint"))
+        return self.current(table).filter(F.col(TS) > since).drop(SEGMENT).withColumnsRenamed(renamed).withColumn(lww.ARRIVAL, F.lit(0).cast("bigint"))
 
-    def insert(self, catalog: Catalog, table: Table, rows: DataFrame) -> None:
+    def insert(self, catalog: Catalog, table: Table, rows: DataFrame) -> str:
         self.check(table, rows)
         table.clock += 1
         table.segments.append(self.new_segment(table, rows.withColumns({TS: F.lit(table.clock).cast("bigint"), OP: F.lit(lww.UPSERT)})))
+        return table.segments[-1]
 
-    def rewrite(self, table: Table, hit: Column, changed: DataFrame) -> int:
-        n = self.rows(table).filter(hit).count()
+    def override(self, table: Table, changed: DataFrame) -> int:
+        """Add changed rows as a segment of their own; how many they are."""
+        name = self.new_segment(table, changed.select([f.name for f in self.stored(table)]))
+        new = self.segments(table, [name])
+        n = new.count()
         if n:
-            new = self.new_segment(table, changed.drop(SEGMENT))
-            table.segments = [new]
+            self.check(table, new.filter(F.col(OP) != lww.DELETE))
+            table.deltas.append(name)
+            self.fold(table)
         return n
 
+    def fold(self, table: Table) -> None:
+        if len(table.deltas) < self.FOLD_AT:
+            return
+        own = [f.name for f in self.stored(table)]
+        together = self.new_segment(table, self.changed(table, table.deltas).select(own))
+        table.deltas = [together]
+        if self.segments(table, [together]).count() * self.FOLD_SHARE >= self.segments(table).count():
+            table.segments, table.deltas = [self.new_segment(table, self.current(table).select(own))], []
+
     def update(self, catalog: Catalog, table: Table, cond: Column, sets: dict[str, Column]) -> int:
-        hit = F.coalesce(cond, F.lit(False)) & (F.col(OP) != lww.DELETE)
         table.clock += 1
-        new = {c: F.when(hit, e).otherwise(F.col(f"`{c}`")) for c, e in sets.items()} | {TS: F.when(hit, F.lit(table.clock)).otherwise(F.col(TS)).cast("bigint")}
-        changed = self.segments(table).withColumn("_row_hit", hit).withColumns(new)
-        self.check(table, changed.filter("_row_hit"))
-        return self.rewrite(table, cond, changed.drop("_row_hit"))
+        return self.override(table, self.rows(table).filter(cond).withColumns(sets | {TS: F.lit(table.clock).cast("bigint")}))
 
     def delete(self, catalog: Catalog, table: Table, cond: Column) -> int:
-        hit = F.coalesce(cond, F.lit(False)) & (F.col(OP) != lww.DELETE)
         table.clock += 1
-        return self.rewrite(table, cond, self.segments(table).withColumns({TS: F.when(hit, F.lit(table.clock)).otherwise(F.col(TS)).cast("bigint"), OP: F.when(hit, F.lit(lww.DELETE)).otherwise(F.col(OP))}))
+        return self.override(table, self.rows(table).filter(cond).withColumns({TS: F.lit(table.clock).cast("bigint"), OP: F.lit(lww.DELETE)}))
+
+    def truncate(self, table: Table) -> None:
+        super().truncate(table)
+        table.deltas = []
 
     def merge(self, catalog: Catalog, table: Table, changes: DataFrame) -> None:
         """Merge another replica's changes (``row_id``, ``op``, ``ts``, ``arrival`` and the table's columns)."""
-        renamed = {ROW_ID: lww.ID, TS: lww.TS, OP: lww.OP}
-        state = self.segments(table).drop(SEGMENT).withColumnsRenamed(renamed)
         if lww.ARRIVAL not in changes.columns:
             changes = changes.withColumn(lww.ARRIVAL, F.lit(0).cast("bigint"))
-        merged = lww.merge(state, changes.select(*[c for c in [lww.ID, *[c.name for c in table.columns], lww.TS, lww.OP, lww.ARRIVAL]]))
-        new = self.new_segment(table, merged.withColumnsRenamed({v: k for k, v in renamed.items()}))
-        top = self.segments(table, [new]).agg(F.max(TS), F.max(ROW_ID)).first()
-        table.segments, table.clock = [new], max(table.clock, top[0] or 0)
-        catalog.next_row = max(catalog.next_row, (top[1] or 0) + 1)
+        new = lww.winners(changes.select(lww.ID, *[F.col(f"`{c.name}`") for c in table.columns], lww.TS, lww.OP, lww.ARRIVAL))
+        name = self.new_segment(table, new.withColumnsRenamed({lww.ID: ROW_ID, lww.TS: TS, lww.OP: OP}).select([f.name for f in self.stored(table)]))
+        top = self.segments(table, [name]).agg(F.max(TS), F.max(ROW_ID)).first()
+        if top[1] is not None:
+            table.deltas.append(name)
+            table.clock = max(table.clock, top[0] or 0)
+            catalog.next_row = max(catalog.next_row, top[1] + 1)
+            self.fold(table)
 
 
 def placed(df: DataFrame, by: str) -> DataFrame:

@@ -21,7 +21,16 @@ def current(changes: DataFrame, id_col: str = lww.ID, ts_col: str = lww.TS, arri
     return lww.winners(changes, id_col, ts_col, arrival_col)
 
 
+# How often changes go to the table, by what matters more.
+FLUSH = {"default": "1000 milliseconds", "throughput": "5000 milliseconds", "latency": "500 milliseconds"}
+
+
+def flush(preset: str = "default") -> dict[str, str]:
+    """Trigger of a stream that flushes in the background, again and again."""
+    return {"processingTime": FLUSH[preset]}
+
+
 def merge_into(changes: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Merge each batch into a table.  A batch that is sent again changes nothing, so the result is as of exactly one delivery."""
+    """Merge each batch into a table, by default all there is, or as ``flush`` says.  A batch that is sent again changes nothing, so the result is as of exactly one delivery."""
     writer = changes.writeStream.foreachBatch(lambda df, _: merge(df)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

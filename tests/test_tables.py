@@ -208,6 +208,8 @@ def test_restart_ignores_what_was_not_committed(s, spark):
     again = EngineSession(spark, s.warehouse)
     assert len(rows(again, "SELECT * FROM p")) == 3
     again.sql("CHECKPOINT")
+    assert pathlib.Path(s.warehouse, "p", "orphan").exists()  # it could be another session's that isn't done
+    EngineSession(spark, s.warehouse, retention=0).sql("CHECKPOINT")
     assert not pathlib.Path(s.warehouse, "p", "orphan").exists()
     assert json.loads(sorted(pathlib.Path(s.warehouse, "_catalog").glob("catalog.*.json"))[-1].read_text())["tables"]["p"]["next_auto"] == 4
 
@@ -248,3 +250,160 @@ def test_engine_names_can_be_added(spark, tmp_path):
 def test_session_without_warehouse(spark):
     with pytest.raises(TableError):
         EngineSession(spark).sql("CREATE TABLE t (a INT)")
+
+
+def test_checkpoint_leaves_what_another_session_has_not_committed(s, spark):
+    people(s)
+    other = EngineSession(spark, s.warehouse)
+    other.sql("BEGIN")
+    other.sql("INSERT INTO p (name) VALUES ('new')")
+    s.sql("CHECKPOINT")
+    s.sql("VACUUM")
+    with pytest.raises(Conflict):
+        other.sql("COMMIT")  # VACUUM changed the table
+    other.sql("BEGIN")
+    other.sql("INSERT INTO p (name) VALUES ('new')")
+    s.sql("CHECKPOINT")
+    other.sql("COMMIT")
+    assert len(rows(s, "SELECT * FROM p")) == 4
+
+
+def test_commit_after_its_files_were_cleaned_up_fails(s, spark):
+    people(s)
+    other = EngineSession(spark, s.warehouse)
+    other.sql("BEGIN")
+    other.sql("INSERT INTO p (name) VALUES ('new')")
+    EngineSession(spark, s.warehouse, retention=0).sql("CHECKPOINT")
+    with pytest.raises(Conflict, match="cleaned up"):
+        other.sql("COMMIT")
+    assert len(rows(s, "SELECT * FROM p")) == 3
+
+
+def test_readers_keep_their_files(s):
+    people(s)
+    before = s.sql("SELECT name FROM p")
+    for k in range(4):
+        s.sql(f"UPDATE p SET age = {k}")
+    s.sql("VACUUM")
+    assert before.count() == 3
+
+
+def test_of_racing_commits_of_one_version_one_wins(s, spark):
+    import threading
+
+    people(s)
+    name, made = f"{s.warehouse}/_catalog/catalog.900.json", []
+    start = threading.Barrier(6)
+
+    def work(k):
+        start.wait()
+        made.append(s.catalogs.files.create(name, str(k)))
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(made) == [False] * 5 + [True]
+    assert not [x for x in s.catalogs.files.names(f"{s.warehouse}/_catalog") if x.startswith("catalog.900.json.")]
+
+
+def test_old_versions_go_by_themselves(s, monkeypatch):
+    from tessel import session
+
+    monkeypatch.setattr(session, "CHECKPOINT_EVERY", 5)
+    s.retention = 0
+    people(s)
+    for k in range(9):
+        s.sql(f"UPDATE p SET age = {k}")
+    numbers = s.catalogs._numbers()
+    assert len(numbers) < 8 and len(list(pathlib.Path(s.warehouse, "p").iterdir())) < 8
+    assert rows(s, "SELECT DISTINCT age FROM p") == [(8,)]
+
+
+def test_update_of_one_row_writes_one_row(s, spark):
+    s.sql("CREATE TABLE m (k INT, v TEXT) ENGINE=memory")
+    for k in range(10):
+        s.sql(f"INSERT INTO m VALUES ({2 * k}, 'a'), ({2 * k + 1}, 'b')")
+    before = s.catalog.table("m").segments
+    assert s.sql("UPDATE m SET v = 'c' WHERE k = 7").rows_affected == 1
+    table = s.catalog.table("m")
+    assert table.segments == before and len(table.deltas) == 1
+    assert spark.read.parquet(f"{s.warehouse}/{table.deltas[0]}").count() == 1
+    for k in range(8):  # folded, first into one, then into the table
+        s.sql(f"UPDATE m SET v = 'd' WHERE k = {k}")
+    assert len(s.catalog.table("m").deltas) < 8
+    assert rows(s, "SELECT k FROM m WHERE v = 'd' ORDER BY k") == [(k,) for k in range(8)]
+    assert len(rows(s, "SELECT * FROM m")) == 20
+
+
+def test_new_keys_go_to_the_table_and_not_the_table_to_them(s, spark):
+    s.sql("CREATE TABLE big (k INT PRIMARY KEY, v INT)")
+    s.register("many", spark.range(200_000).selectExpr("id AS k", "id AS v"))
+    s.sql("INSERT INTO big SELECT k, v FROM many")
+    seen = []
+    table, store = s.catalog.table("big"), s.store(s.catalog.table("big"))
+    kind = type(spark.range(1))
+    first = kind.first
+    try:
+        kind.first = lambda self: seen.append(self._jdf.queryExecution().executedPlan().toString()) or first(self)
+        store.check_keys(table, spark.range(1).selectExpr("1L AS _row_id", "inline(array(struct(-7L AS k, 1L AS v)))"), store.rows(table))
+    finally:
+        kind.first = first
+    assert "BroadcastHashJoin" in seen[0] and "LeftSemi" in seen[0]
+    with pytest.raises(ConstraintError, match="'7'"):
+        s.sql("INSERT INTO big VALUES (7, 1)")
+
+
+def test_index_lays_files_out(s, spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    s.sql("CREATE TABLE i (a INT, b INT, v TEXT)")
+    s.register("many", spark.range(60_000).selectExpr("id * 7919 % 60000 AS a", "id AS b", "'x' AS v").repartition(6))
+    s.sql("INSERT INTO i SELECT a, b, v FROM many")
+    s.sql("CREATE INDEX ab ON i (a, b)")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one file
+    try:
+        s.sql("VACUUM")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (segment,) = s.catalog.table("i").segments
+    groups = met = 0
+    for f in glob.glob(f"{s.warehouse}/{segment}/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            stats = next(meta.row_group(g).column(c).statistics for c in range(meta.num_columns) if meta.row_group(g).column(c).path_in_schema == "a")
+            groups += 1
+            met += stats.min <= 4321 <= stats.max
+    assert met == 1 and groups > 1
+    assert [r[0] for r in rows(s, "SELECT a FROM i WHERE a = 4321 AND b >= 0")] == [4321]
+    plan = s.sql("SELECT b FROM i WHERE a = 4321")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(a,4321)" in plan
+    s.sql("DROP INDEX ab")
+    assert s.catalog.table("i").layout == []
+
+
+def test_stores_that_overwrite_are_refused(spark, monkeypatch):
+    from tessel.sources.files import Files
+
+    class Overwriting:
+        def getUri(self):
+            return self
+
+        def getScheme(self):
+            return "s3a"
+
+    files = Files(spark)
+    monkeypatch.setattr(files, "_path", lambda path: (Overwriting(), path))
+    with pytest.raises(TableError, match="s3a"):
+        files.create("s3a://bucket/x", "{}")
+
+
+def test_closed_statement(s):
+    p = s.prepare("SELECT ? AS a")
+    assert p.schema([1])[0].dataType.simpleString() == "bigint" and p.schema(["x"])[0].dataType.simpleString() == "string"
+    p.close()
+    with pytest.raises(SqlSyntaxError, match="closed"):
+        p.execute([1])
