@@ -8,8 +8,9 @@ penalised, so the terms themselves carry next to no weight and a neutral mention
 of a group isn't taken for abuse.
 
 Defined results: a null or empty text has no words and scores by the bias;
-without labels every score is 0.5; repeated rows are scored each; an empty
-table gives an empty result.  Only the id and text of a document are read.
+without labels every score is 0.5; texts are scored whole; an id with several
+labels has the largest, and equal scores are no tie to break; repeated rows are
+scored each; an empty table gives an empty result.  Only the id and text of a document are read.
 """
 
 from __future__ import annotations
@@ -29,12 +30,18 @@ SCALE = 5.0
 #: Words that a worker remembers.
 CACHE_WORDS = 300_000
 
-# Words that name groups of people.
+# Words that name groups of people, in English, German, French and Spanish.
 IDENTITY_TERMS = """
 african american arab asian atheist bisexual black blind buddhist catholic chinese christian deaf disabled
 european female feminist gay german hindu hispanic immigrant indian indigenous jewish jew jews latina latino
 lesbian male men mexican muslim muslims nonbinary old queer refugee russian straight teenage trans transgender
 white woman women young
+afrikaner araber ausländer behinderte buddhisten christen deutsche flüchtlinge frauen juden lesben migranten muslime
+muslimisch russen schwarze schwule schwul türken weiße jüdisch
+africains allemands arabes asiatiques catholiques chrétiens femmes handicapés homosexuels immigrés juifs juive lesbiennes
+musulmans musulmane noirs réfugiés russes transgenres
+africanos alemanes árabes asiáticos católicos chinos cristianos discapacitados gitanos homosexuales indígenas inmigrantes
+judíos lesbianas mujeres musulmanes negros refugiados rusos
 """.split()
 
 
