@@ -75,7 +75,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, featurise: C
     """At most ``rows`` labelled documents outside the held-out fold, in an order fixed by their ids.
 
     ``featurise`` gives a text's size and its features.  An id with several labels takes the
-    largest, one with several texts the first; null labels and ids don't count.
+    largest, one with several texts that of the fewest words (of equals the one with the
+least features); null labels and ids don't count.
     """
     one = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__label")).dropna()
     chosen = one.filter(crc_fold("__id") != 1).groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)

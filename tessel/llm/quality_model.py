@@ -6,8 +6,9 @@ hashed; a bigram of a word with itself is one feature whatever the word, as is
 what a word ends on when that isn't a letter.  A feature's value is its share of the tokens.
 
 Defined results: a null or empty text has no features and scores by the bias;
-without labels every score is 0.5; repeated rows are scored each; an empty
-table gives an empty result.  Only the id and text of a document are read.
+without labels every score is 0.5; texts are scored whole; an id with several
+labels has the largest, and a score equal to the limit of ``keep`` is kept; repeated
+rows are scored each; an empty table gives an empty result.  Only the id and text of a document are read.
 """
 
 from __future__ import annotations
