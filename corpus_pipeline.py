@@ -2,6 +2,12 @@
 
 Each stage works on all rows that the one before it kept.  Stages take
 (spark, docs, sf_dir); all but the last return the columns of documents.
+
+Defined results, in every stage: null texts count as empty and null ids are ids like
+any other; rows are kept and dropped each by itself, whatever ids they share, and of
+equal rows one stays; texts are taken whole; a score equal to its limit is kept;
+columns that aren't those of documents pass through all stages but the last; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from pyspark.sql import functions as F
 from tessel.llm import decontaminate, quality_model, secret_scan, sentencepieces, simhash
 from tessel.llm.common import checkpoint_folder, table
 from tessel.llm.queries import VOCABULARY
+from tessel.sources.files import Files
 
 #: Likelihood of good quality below which a document goes.
 LEAST_QUALITY = 0.5
@@ -28,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group."""
+    """Keep one document of each group of texts that have 0.8 of their five-word shingles in common."""
     return simhash.representatives(docs).select(*docs.columns)
 
 
@@ -59,11 +66,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The last stage's rows; each stage is written to the shared folder and read again.
+
+    With a ``folder`` of one's own all stages stay there, and a run that was
+    stopped goes on after the last stage that was whole; without, a stage's rows
+    go when the next one's are written.
+    """
+    docs, files = table(spark, sf_dir, "documents"), Files(spark)
+    kept, folder = folder is not None, folder or f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        if not files.exists(f"{path}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None and not kept:
+            files.delete(before)
+        before = path
     return docs
