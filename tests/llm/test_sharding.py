@@ -64,3 +64,23 @@ def test_plan_is_native(spark, folder):
 def test_odd_rows(odd_documents, no_documents):
     assert sharding.assign(odd_documents, 60_000).count() == odd_documents.count()
     assert sharding.assign(no_documents, 1000).collect() == []
+
+
+def test_written_shards_hold_all_rows_and_fit(spark, odd_documents, no_documents, tmp_path):
+    limit = 40_000
+    rows = [(k, "é" * (k % 900), f"src{k % 7}", [k, k]) for k in range(600)] + [(7, "same", "s", None)] * 5000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, shard string, list array<int>")
+    directory = {r.shard: r for r in sharding.write(df, str(tmp_path / "a"), limit).collect()}
+    back = spark.read.parquet(str(tmp_path / "a" / "shards"))
+    got = back.collect()
+    assert sorted(str(tuple(r)[:4]) for r in got) == sorted(map(str, rows))
+    size = lambda r: len(r.text.encode()) + len(str(r.doc_id)) + len(r.shard) + len(f"[{r.doc_id},{r.doc_id}]" if r.list else "")
+    total = {}
+    for r in got:
+        total[r[sharding.SHARD_COLUMN][1:]] = total.get(r[sharding.SHARD_COLUMN][1:], 0) + size(r)
+    assert {k: r.bytes for k, r in directory.items()} == total and max(total.values()) <= limit and len(total) > 5
+    for folder in (tmp_path / "a" / "shards").glob("*=*"):
+        assert len(list(folder.glob("*.parquet"))) == 1
+    for k, docs in enumerate((odd_documents, no_documents)):
+        sharding.write(docs, str(tmp_path / str(k)), limit)
+    assert spark.read.parquet(str(tmp_path / "0" / "shards")).count() == odd_documents.count()
