@@ -11,7 +11,7 @@ candidates are then verified on all 64 bits.
 0.8 of the five-word shingles are the same differ in 9 bits or so, too many to probe
 for; ``similar`` finds them by fingerprints of their words, which an edit changes
 less (a word that stands n times counts log n times), and verifies candidates
-by a sketch of their shingles, 512 further bits whose distance tells the similarity.
+by a sketch of their shingles, 1,024 further bits whose distance tells the similarity.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; repeated rows give a row each; a
@@ -42,8 +42,10 @@ LIGHT_TIMES = 4
 #: Fingerprints a side in such a block.
 BLOCK = 1024
 #: Numbers of 64 bits in a sketch, and bits in which the words' fingerprints of similar texts differ at most (of pairs with a similarity over 0.8, 0.96 do).
-SKETCH = 8
+SKETCH = 16
 WORDS_RADIUS = 6
+#: Deviations beyond the expected distance up to which sketches count as similar: one in ten with just the similarity isn't.
+DEVIATIONS = 1.3
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -91,10 +93,10 @@ def sketch(text: bytes, shingle_words: int = 5) -> tuple[int, int, list[int]]:
 
 
 def sketch_radius(similarity: float) -> int:
-    """Bits in which sketches of texts with a shingle similarity differ at most, but for one in six: the expected number and one deviation."""
+    """Bits in which sketches of texts with a shingle similarity differ at most, but for one in ten."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * SKETCH
-    return int(n * share + math.sqrt(n * share * (1 - share)))
+    return int(n * share + DEVIATIONS * math.sqrt(n * share * (1 - share)))
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:

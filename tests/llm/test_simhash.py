@@ -127,7 +127,7 @@ def brute_sketch(text, k=5):
         h = (h ^ h >> 32) * m & full
         return h ^ h >> 32
 
-    return most(shingles), most(weighed), sum(most([plane(h, j) for h in shingles]) << 64 * j for j in range(8))
+    return most(shingles), most(weighed), sum(most([plane(h, j) for h in shingles]) << 64 * j for j in range(16))
 
 
 def brute_similar(texts):
@@ -135,7 +135,7 @@ def brute_similar(texts):
     made = [brute_sketch(t) for t in texts]
     nodes = {}
     for m in made:  # texts with one node stand for each other
-        nodes[m[0]] = min(nodes.get(m[0], m), m, key=lambda x: (simhash.signed(x[1]), [simhash.signed(x[2] >> 64 * j & (1 << 64) - 1) for j in range(8)]))
+        nodes[m[0]] = min(nodes.get(m[0], m), m, key=lambda x: (simhash.signed(x[1]), [simhash.signed(x[2] >> 64 * j & (1 << 64) - 1) for j in range(16)]))
     names = list(nodes)
     fps, sks = np.array([nodes[x][1] for x in names], np.uint64), [nodes[x][2] for x in names]
     parent = {x: x for x in names}
@@ -147,7 +147,7 @@ def brute_similar(texts):
 
     for i in range(len(names)):
         for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 6).tolist():
-            if (sks[i] ^ sks[j]).bit_count() <= 85:
+            if (sks[i] ^ sks[j]).bit_count() <= 170:
                 parent[root(names[i])] = root(names[j])
     return [root(m[0]) for m in made]
 
