@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 #: Stands between parts of a text; where the text has it or the next one itself, both are written as pairs.
 MARK, ESCAPE = "\x01", "\x02"
-#: Private keys between their lines, and passwords of addresses.
+#: Private keys between their lines, and passwords of addresses (a look back of one character first, as longer ones cost time at every place).
 KEY_BLOCK = r"""-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----\s*+(?:[A-Za-z-]{1,20}: [^\r\n]{0,100}\r?\n){0,6}+[A-Za-z0-9+/=\s\\]{16,}+(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)?"""
-IN_ADDRESS = r"""(?<=[a-z]://[^\s/:@"']{0,64}:)[^\s/@"']{3,}+(?=@)"""
+IN_ADDRESS = r"""(?<=:)(?<=[a-z]://[^\s/:@"']{0,64}:)[^\s/@"']{3,}+(?=@)"""
 #: Quoted values of assignments, and key-like runs of 12 characters or more.
 CANDIDATE = r"""(?:(?<=[=:]")|(?<=[=:] "))[^\s"]{8,}+(?=")|(?:(?<=[=:]')|(?<=[=:] '))[^\s']{8,}+(?=')|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{12})(?=[A-Za-z+/_-]*+[0-9]|[A-Za-z0-9+/_-]*?(?:[a-z][A-Z]|[A-Z]{16}))[A-Za-z0-9+/_-]++={0,2}"""
 #: Values without quotes that are assigned to a key word, without the punctuation after them; Java only.
