@@ -12,8 +12,8 @@ from .common import crc_fold, table
 
 #: Byte limit of a shard.
 SHARD_BYTES = 8 << 20
-#: Words of a passage that the line query takes out where it repeats across documents; a boilerplate line alone leaves a document as it is.
-SPAN_WORDS = 30
+#: Least words of a span that the line query returns: every repeat, of a single line too.
+SPAN_WORDS = 1
 #: Vocabulary file of the token query.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -26,7 +26,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = line_dedup.repeated_spans(table(spark, sf_dir, "documents"), span_words=SPAN_WORDS, across=True)
+    spans = line_dedup.repeated_spans(table(spark, sf_dir, "documents"), span_words=SPAN_WORDS)
     return spans.select(F.col("__id").alias("doc_id"), F.col("span").alias("unit"), "start", "end", "n_words", "n_units", F.col("first_id").alias("kept_doc_id"))
 
 

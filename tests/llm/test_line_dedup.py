@@ -93,6 +93,19 @@ def test_query_equals_brute_force(spark, folder):
     assert sorted(got, key=str) == brute(docs, 5, queries.SPAN_WORDS, True)
 
 
+def test_query_leaves_no_repeat_out(spark, folder, prose, tmp_path):
+    """Neither short lines nor what one text says twice."""
+    line = "Please share this page with your friends"
+    rows = [(1, f"{prose(1, 40)}\n{line}"), (2, f"{line}\n{prose(2, 40)}"), (3, f"{prose(3, 40)}\n{prose(4, 40)}\n{prose(3, 40)}")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, rows[r.doc_id - 1][1][r.start : r.end], r.kept_doc_id) for r in got) == [(2, line, 1), (3, prose(3, 40), 3)]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    texts = dict(docs)
+    got = [(r.doc_id, tuple(texts[r.doc_id][r.start : r.end].split()), r.n_words, r.n_units, r.kept_doc_id) for r in queries.op2_line_dedup(spark, folder).collect()]
+    assert sorted(got, key=str) == brute(docs)
+
+
 def test_passage_within_other_text(spark, prose):
     passage = prose(7, 60)
     rows = [(1, prose(1, 50)[:-1] + " " + passage + " " + prose(2, 30)), (2, prose(3, 40)[:-1] + " " + passage + "\n" + prose(4, 30)), (3, prose(5, 90))]
