@@ -1,7 +1,8 @@
 """A training corpus from raw documents: classify, deduplicate, decontaminate, mask secrets, encode.
 
 Each stage works on all rows that the one before it kept.  Stages take
-(spark, docs, sf_dir); all but the last return the columns of documents.
+(spark, docs, sf_dir); all but the last return the columns of documents.  Each frees
+what the driver holds of the one before.
 
 Defined results, in every stage: null texts count as empty and null ids are ids like
 any other; rows are kept and dropped each by itself, whatever ids they share, and of
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import decontaminate, quality_model, secret_scan, sentencepieces, simhash
-from tessel.llm.common import checkpoint_folder, table
+from tessel.llm.common import checkpoint_folder, table, tidy
 from tessel.llm.queries import VOCABULARY
 from tessel.sources.files import Files
 
@@ -30,27 +31,32 @@ LEAST_QUALITY = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the quality classifier doesn't reject; it learns from the labelled source documents."""
     weights = quality_model.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    tidy(spark)
     verdict = quality_model.keep(docs, weights, LEAST_QUALITY)
     return verdict.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of texts that have 0.8 of their five-word shingles in common."""
+    tidy(spark)
     return simhash.representatives(docs).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    tidy(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), rowwise=True).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask secrets; every document stays, with its new length."""
+    tidy(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
+    tidy(spark)
     return sentencepieces.encode(docs, sentencepieces.load(VOCABULARY)).withColumnRenamed("__id", "doc_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +55,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder).toDF(*df.columns)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Give back what the driver no longer uses: Arrow's free memory, and garbage of plans and results, for which the JVM would rather grow.
+
+    Spark's cleaner then also drops shuffles, broadcasts and checkpoints that nothing refers to.
+    """
+    gc.collect()  # references into the JVM go first
+    pa.default_memory_pool().release_unused()
+    spark._jvm.java.lang.System.gc()
+
+
 #: Ids that may go to every executor (some 16 bytes each, keys of rows some 40); a longer list meets the rows through a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, as_bytes, by_row, cut, keyed_text, map_slices, stored, without_ids
+from .common import ASCII_LOWER, as_bytes, by_row, cut, keyed_text, map_slices, stored, tidy, without_ids
 
 #: Distinct fingerprints looked at to group bits and to estimate candidates; it steers the plan only, never the result.
 PLAN_SAMPLE = 4000
@@ -338,7 +338,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     """``__id`` and ``component_id`` of every row: the smallest id that links of texts with ``similarity`` of their shingles lead to."""
     rows = stored(sketches(df, id_col, text_col, shingle_words))
     distinct = stored(rows.groupBy("node").agg(F.min("__id").alias("least"), F.min(F.struct("fp", "sketch")).alias("s")).select("node", "least", "s.*"))
-    return named_by_least(rows.select("__id", "node"), distinct.select("node", "least"), links(distinct, WORDS_RADIUS, sketch_radius(similarity))).select("__id", "component_id")
+    edges = links(distinct, WORDS_RADIUS, sketch_radius(similarity))
+    tidy(df.sparkSession)
+    return named_by_least(rows.select("__id", "node"), distinct.select("node", "least"), edges).select("__id", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -77,3 +77,13 @@ def test_stages_keep_clean_rows_without_own_ids(spark, prose, folder):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = corpus_pipeline.benchmark(spark, corpus_pipeline.near_duplicates(spark, docs, folder), folder)
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([rows[k] for k in (0, 1, 3, 4)], key=str)
+
+
+def test_stages_free_what_the_driver_no_longer_uses(spark, folder):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20).localCheckpoint()
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, folder)
+        assert full() > before, name
