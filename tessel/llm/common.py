@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker handles at a time; bounds its memory.
 SLICE_BYTES = 2 << 20
 
+#: Bytes of rows that go to a Python worker at a time, unless the session names a limit; bounds what the JVM holds for it beside its heap.
+BATCH_BYTES = 4 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Upper-case ASCII to lower case, for ``bytes.translate``.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -65,6 +72,31 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers in batches of ``BATCH_BYTES``; a session that names a limit of its own keeps it."""
+    if ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
+#: What a Python worker keeps from one task to the next, for the operator it last ran.
+KEPT: dict[Any, Any] = {}
+
+
+def forget() -> None:
+    """Drop what an operator kept; a function that is pickled by value reaches the worker's own ``KEPT`` only through one that isn't."""
+    KEPT.clear()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def spare() -> None:
+    """Give back the memory that a Python worker no longer uses: it lives on, and what is free in it counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 #: Ids that may go to every executor (some 16 bytes each, keys of rows some 40); a longer list meets the rows through a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -110,12 +142,21 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "__text") -> DataFrame:
-    """Apply ``fn`` to slices of each partition, batch by batch; no shuffle, memory bounded by the slice."""
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str = "__text", keeps: bool = False) -> DataFrame:
+    """Apply ``fn`` to slices of each partition, batch by batch; no shuffle, memory bounded by the slice.
+
+    What an operator has put into ``KEPT`` stays for its next task only if it ``keeps``.
+    """
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, text):
-            yield fn(piece)
+        if not keeps:
+            forget()
+        try:
+            for piece in slices(batches, text):
+                yield fn(piece)
+        finally:
+            spare()
 
     return df.mapInArrow(run, schema)
 

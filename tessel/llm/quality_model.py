@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, slices
+from .common import as_bytes, map_slices
 from .linear import FTRL, labelled_sample, score_texts, sigmoid
 
 BUCKETS = 1 << 18
@@ -89,8 +89,7 @@ def keep(docs: DataFrame, weights: np.ndarray, least: float, text_col: str = "te
     places = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
     rows, text = docs.toDF(*places), places[docs.columns.index(text_col)]
 
-    def run(batches):  # noqa: ANN001, ANN202
-        for piece in slices(batches, text):
-            yield piece.filter(pa.array(probabilities(as_bytes(piece.column(text)), shared.value) >= least))
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        return piece.filter(pa.array(probabilities(as_bytes(piece.column(text)), shared.value) >= least))
 
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return map_slices(rows, run, rows.schema, text).toDF(*docs.columns)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, keyed_text, map_slices
+from .common import KEPT, as_bytes, keyed_text, map_slices
 
 BLANK = 0x2581
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -378,16 +378,13 @@ def decode_ids(model: Model, ids: list[int]) -> str:
     return raw.decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, tuple[object, Encoder]] = {}
-
-
 def encoder_of(shared: object) -> Encoder:
     """One encoder a worker process and broadcast model, so that words are remembered across partitions."""
     key = shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared.value)
-    have = _ENCODERS.get(key)
+    have = KEPT.get(key)
     if have is None or have[0] is not shared.value:
-        _ENCODERS.clear()
-        _ENCODERS[key] = have = (shared.value, Encoder(shared.value))
+        KEPT.clear()
+        KEPT[key] = have = (shared.value, Encoder(shared.value))
     return have[1]
 
 
@@ -405,7 +402,7 @@ def encode(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         arrays = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
         return pa.RecordBatch.from_arrays([piece.column("__id"), pa.array(np.diff(upto), pa.int64()), arrays, pa.array(same, pa.bool_())], ["__id", "n_tokens", "ids", "round_trip"])
 
-    return map_slices(keyed_text(df, id_col, text_col), run, f"__id {kind}, n_tokens bigint, ids array<int>, round_trip boolean")
+    return map_slices(keyed_text(df, id_col, text_col), run, f"__id {kind}, n_tokens bigint, ids array<int>, round_trip boolean", keeps=True)
 
 
 def decode(df: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, as_bytes, by_row, cut, keyed_text, map_slices, stored, tidy, without_ids
+from .common import ASCII_LOWER, as_bytes, by_row, cut, keyed_text, map_slices, spare, stored, tidy, without_ids
 
 #: Distinct fingerprints looked at to group bits and to estimate candidates; it steers the plan only, never the result.
 PLAN_SAMPLE = 4000
@@ -285,6 +285,7 @@ def links(distinct: DataFrame, radius: int = 4, sketch_bits: int | None = None)
             sk = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
             near &= sum(np.bitwise_count(sk[side, k][:, None] ^ sk[~side, k][None, :]).astype(np.int16) for k in range(SKETCH)) <= sketch_bits
         edges = np.array(spanning(near, nodes[side], nodes[~side]), np.int64).reshape(-1, 2)
+        spare()
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
     dense = both.groupBy("part", "key", "i", "j").applyInArrow(block, "a bigint, b bigint")
