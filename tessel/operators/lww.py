@@ -16,10 +16,11 @@ ID, OP, TS, ARRIVAL = "row_id", "op", "ts", "arrival"
 DELETE, UPSERT = "delete", "upsert"
 
 
-def winners(changes: DataFrame, id_col: str = ID, ts_col: str = TS, arrival_col: str | None = ARRIVAL) -> DataFrame:
+def winners(changes: DataFrame, id_col: str = ID, ts_col: str = TS, arrival_col: str | list[str] | None = ARRIVAL) -> DataFrame:
     """The change that counts of each row: one aggregation with partial results, so a hot row costs one record a task."""
     rest = [c for c in changes.columns if c != id_col]
-    rank = F.struct(F.col(ts_col), -F.col(arrival_col)) if arrival_col else F.struct(F.col(ts_col))
+    arrivals = [arrival_col] if isinstance(arrival_col, str) else arrival_col or []
+    rank = F.struct(F.col(ts_col), *[-F.col(c) for c in arrivals])
     return changes.groupBy(id_col).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank).alias("__w")).select(id_col, "__w.*")
 
 

@@ -534,7 +534,7 @@ def background_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = EngineSession(spark, folder)
     s.sql("CREATE TABLE state (value FLOAT, event_type TEXT) ENGINE=memory")
     for k in range(3):
-        events.filter(F.col("arrival") % 3 == k).coalesce(1).write.parquet(f"{folder}/_changes/{k}")
+        events.filter(F.coalesce(F.pmod("arrival", F.lit(3)), F.lit(0)) == k).coalesce(1).write.parquet(f"{folder}/_changes/{k}")
         if k == 0:
             stream = lww_stream.read_changes(spark, f"{folder}/_changes/*", events.schema)
             running = lww_stream.merge_into(stream, lambda df: s.merge_changes("state", df), f"{folder}/_stream", **lww_stream.flush("latency"))

@@ -21,7 +21,10 @@ from ..operators.joins import small
 from .catalog import Catalog, Table
 from .files import Files
 
-ROW_ID, SEGMENT, TS, OP = "_row_id", "_row_segment", "_row_ts", "_row_op"
+ROW_ID, SEGMENT, TS, OP, ARRIVED = "_row_id", "_row_segment", "_row_ts", "_row_op", "_row_arrival"
+ORDER = "_row_order"
+#: The arrival of a change that gives a null for it: after all others of its time.
+LAST = (1 << 63) - 1
 
 
 class Store(ABC):
@@ -159,6 +162,10 @@ class DurableStore(Store):
 class ChangeStore(Store):
     """Rows by last writer: every change is stamped by the table's clock and merged; keys aren't checked, transactions don't undo it.
 
+    A change is kept with its arrival, so of equal times the first to arrive counts whichever
+    was merged first; statements, and changes that come without an arrival, have 0.  Of equal
+    arrivals too, what the table has stays.
+
     INSERT adds a segment of new rows.  UPDATE, DELETE and changes of other replicas
     add a small one that overrides rows, merged as the table is read.  Many of these
     are folded into one, and into the table's once they hold a good part of it, so a
@@ -170,12 +177,16 @@ class ChangeStore(Store):
     FOLD_AT, FOLD_SHARE = 8, 4
 
     def stored(self, table: Table) -> T.StructType:
-        return T.StructType([*super().stored(table).fields, T.StructField(TS, T.LongType()), T.StructField(OP, T.StringType())])
+        return T.StructType([*super().stored(table).fields, T.StructField(TS, T.LongType()), T.StructField(OP, T.StringType()), T.StructField(ARRIVED, T.LongType())])
+
+    def segments(self, table: Table, names: list[str] | None = None) -> DataFrame:
+        """Segments of before arrivals were kept hold none."""
+        return super().segments(table, names).withColumn(ARRIVED, F.coalesce(ARRIVED, F.lit(0).cast("bigint")))
 
     def changed(self, table: Table, names: list[str]) -> DataFrame:
-        """The change that counts of each row in overriding segments; of equal times that of the earlier segment."""
+        """The change that counts of each row in overriding segments; of equal times and arrivals that of the earlier segment."""
         order = F.create_map(*[x for k, name in enumerate(names) for x in (F.lit(name), F.lit(k).cast("bigint"))])
-        return lww.winners(self.segments(table, names).withColumn(lww.ARRIVAL, order[F.col(SEGMENT)]), ROW_ID, TS, lww.ARRIVAL).drop(lww.ARRIVAL)
+        return lww.winners(self.segments(table, names).withColumn(ORDER, order[F.col(SEGMENT)]), ROW_ID, TS, [ARRIVED, ORDER]).drop(ORDER)
 
     def current(self, table: Table) -> DataFrame:
         """Rows and tombstones: rows that nothing overrides as they are, the others merged."""
@@ -185,8 +196,8 @@ class ChangeStore(Store):
         over = self.changed(table, table.deltas)
         ids = small(over.select(ROW_ID))
         first = F.lit(-1).cast("bigint")
-        met = base.join(ids, ROW_ID, "left_semi").withColumn(lww.ARRIVAL, first).unionByName(over.withColumn(lww.ARRIVAL, F.lit(0).cast("bigint")))
-        merged = lww.winners(met, ROW_ID, TS, lww.ARRIVAL).drop(lww.ARRIVAL)
+        met = base.join(ids, ROW_ID, "left_semi").withColumn(ORDER, first).unionByName(over.withColumn(ORDER, F.lit(0).cast("bigint")))
+        merged = lww.winners(met, ROW_ID, TS, [ARRIVED, ORDER]).drop(ORDER)
         return base.join(ids, ROW_ID, "left_anti").unionByName(merged)
 
     def rows(self, table: Table) -> DataFrame:
@@ -194,13 +205,16 @@ class ChangeStore(Store):
 
     def changes(self, table: Table, since: int = 0) -> DataFrame:
         """What happened after a time of the clock, for another replica to merge."""
-        renamed = {ROW_ID: lww.ID, TS: lww.TS, OP: lww.OP}
-        return self.current(table).filter(F.col(TS) > since).drop(SEGMENT).withColumnsRenamed(renamed).withColumn(lww.ARRIVAL, F.lit(0).cast("bigint"))
+        renamed = {ROW_ID: lww.ID, TS: lww.TS, OP: lww.OP, ARRIVED: lww.ARRIVAL}
+        return self.current(table).filter(F.col(TS) > since).drop(SEGMENT).withColumnsRenamed(renamed)
+
+    def stamp(self, table: Table) -> dict[str, Column]:
+        return {TS: F.lit(table.clock).cast("bigint"), ARRIVED: F.lit(0).cast("bigint")}
 
     def insert(self, catalog: Catalog, table: Table, rows: DataFrame) -> str:
         self.check(table, rows)
         table.clock += 1
-        table.segments.append(self.new_segment(table, rows.withColumns({TS: F.lit(table.clock).cast("bigint"), OP: F.lit(lww.UPSERT)})))
+        table.segments.append(self.new_segment(table, rows.withColumns(self.stamp(table) | {OP: F.lit(lww.UPSERT)})))
         return table.segments[-1]
 
     def override(self, table: Table, changed: DataFrame) -> int:
@@ -225,11 +239,11 @@ class ChangeStore(Store):
 
     def update(self, catalog: Catalog, table: Table, cond: Column, sets: dict[str, Column]) -> int:
         table.clock += 1
-        return self.override(table, self.rows(table).filter(cond).withColumns(sets | {TS: F.lit(table.clock).cast("bigint")}))
+        return self.override(table, self.rows(table).filter(cond).withColumns(sets | self.stamp(table)))
 
     def delete(self, catalog: Catalog, table: Table, cond: Column) -> int:
         table.clock += 1
-        return self.override(table, self.rows(table).filter(cond).withColumns({TS: F.lit(table.clock).cast("bigint"), OP: F.lit(lww.DELETE)}))
+        return self.override(table, self.rows(table).filter(cond).withColumns(self.stamp(table) | {OP: F.lit(lww.DELETE)}))
 
     def truncate(self, table: Table) -> None:
         super().truncate(table)
@@ -237,10 +251,10 @@ class ChangeStore(Store):
 
     def merge(self, catalog: Catalog, table: Table, changes: DataFrame) -> None:
         """Merge another replica's changes (``row_id``, ``op``, ``ts``, ``arrival`` and the table's columns)."""
-        if lww.ARRIVAL not in changes.columns:
-            changes = changes.withColumn(lww.ARRIVAL, F.lit(0).cast("bigint"))
+        arrival = F.coalesce(F.col(lww.ARRIVAL).cast("bigint"), F.lit(LAST)) if lww.ARRIVAL in changes.columns else F.lit(0).cast("bigint")
+        changes = changes.withColumn(lww.ARRIVAL, arrival)
         new = lww.winners(changes.select(lww.ID, *[F.col(f"`{c.name}`") for c in table.columns], lww.TS, lww.OP, lww.ARRIVAL))
-        name = self.new_segment(table, new.withColumnsRenamed({lww.ID: ROW_ID, lww.TS: TS, lww.OP: OP}).select([f.name for f in self.stored(table)]))
+        name = self.new_segment(table, new.withColumnsRenamed({lww.ID: ROW_ID, lww.TS: TS, lww.OP: OP, lww.ARRIVAL: ARRIVED}).select([f.name for f in self.stored(table)]))
         top = self.segments(table, [name]).agg(F.max(TS), F.max(ROW_ID)).first()
         if top[1] is not None:
             table.deltas.append(name)

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import datetime
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessel import queries as q
 from tessel.operators import joins, lww
 from tessel.session import EngineSession
 from tessel.sources import formats, results
@@ -100,6 +103,56 @@ def test_stream_equals_batch(spark, tmp_path, replicas):
     assert content(s) == sorted((r[0], r[3]) for r in batch)
 
 
+@pytest.mark.parametrize("name", ["background_flush", "lww_stream_merge"])
+def test_equal_times_across_batches_equal_sql(spark, tmp_path, name):
+    """Whichever batch brings it, the event with the least id counts; an id below zero is an event too, and one without an id is the last."""
+    start, folder = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC), str(tmp_path / "events.parquet")
+    for part, ids in enumerate([range(40, 80), range(-20, 20), [*range(20, 40), None]]):
+        rows = [(i, start + datetime.timedelta(seconds=(i or 0) % 2), (i or 0) % 7, "error" if (i or 0) % 5 == 0 else "view", float(i or 999)) for i in ids]
+        rows += [(i + 1000, r[1], r[2] + 100 * (part + 1), *r[3:]) for i, r in zip(ids, rows, strict=True) if i is not None]
+        spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").coalesce(1).write.mode("append").parquet(folder)
+    duck = duckdb.connect()
+    duck.execute("SET timezone = 'UTC'")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet'")
+    want = duck.execute(q.oracle_sql()[name]).fetchall()
+    assert len(want) > 7 and sorted(tuple(r) for r in q.queries()[name](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_table_is_the_same_for_any_order_and_portions(spark, replicas):
+    """Equal times in portions of any order, some sent twice, through folds: what one merge of all gives; so for a replica that takes over the table's changes."""
+    rng, (a, b) = random.Random(7), replicas
+    changes = [(rng.randrange(30), rng.choice(["upsert", "upsert", "delete"]), rng.randrange(3), k, str(k)) for k in range(300)]
+    want = state(lww.winners(spark.createDataFrame(changes, CHANGES)))
+    portions = [changes[k::11] for k in range(11)]
+    rng.shuffle(portions)
+    for p in [*portions, *portions[:3]]:
+        a.merge_changes("t", spark.createDataFrame(p, CHANGES))
+    b.merge_changes("t", spark.createDataFrame(rng.sample(changes, 100), CHANGES))
+    b.merge_changes("t", a.changes("t", -1))
+    for s in replicas:
+        assert state(s.changes("t", -1)) == want
+        assert content(s) == sorted((r[0], r[3]) for r in want if r[1] == "upsert")
+    a.sql("UPDATE t SET v = 'mine'")  # a statement is later than all that was merged
+    assert {r[1] for r in content(a)} == {"mine"}
+
+
+def test_no_arrival_and_segments_without_it(spark, replicas):
+    a = replicas[0]
+    change = lambda v, arrival=None: spark.createDataFrame([(1, "upsert", 5, arrival, v)], CHANGES)
+    for df, stays in ((change("null"), "null"), (change("nine", 9), "nine"), (change("null again"), "nine"), (change("none").drop("arrival"), "none"), (change("none again").drop("arrival"), "none"), (change("one", 1), "none")):
+        a.merge_changes("t", df)
+        assert content(a) == [(1, stays)]
+    # a segment of before arrivals were kept
+    base = a.catalogs.load()
+    work = base.copy()
+    table, store = work.table("t"), a.store(base.table("t"))
+    table.deltas = [store.new_segment(table, store.segments(table, table.deltas[-1:]).drop("_row_arrival", "_row_segment"))]
+    a.catalogs.commit(work, base, {"t"})
+    assert content(a) == [(1, "one")] and a.changes("t").first()["arrival"] == 0
+    a.merge_changes("t", change("two", 2))
+    assert content(a) == [(1, "one")]
+
+
 def test_windows(spark):
     df = spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", "a") for m in (1, 4, 11, 30)], "ts string, k string").withColumn("ts", F.col("ts").cast("timestamp"))
     n = F.count(F.lit(1)).alias("n")
